@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from keyloom.session import ship
+
 NONE = 1 << 60
 MEMO = 250_000  # words whose ids are remembered by a task
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -265,6 +267,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
     Null text counts as empty: no ids, and the hash of nothing.  Rows are independent, so repeated rows,
     null ids and empty tables need no rule of their own.
     """
+    ship(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         raw = f.read()
     name = hashlib.sha256(raw).hexdigest()

@@ -15,25 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import keep
+from keyloom.llm.shared import keep, spread, table
 from keyloom.llm.words import count_words
 
 BITS = 12  # hash bits settled by one histogram
 LEVELS = 3
-MAX_BROADCAST_SOURCES = 20_000
-SALTS = 32
-
-
-def _spread(df: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame:
-    """Join per-source facts to rows.  A source may own a third of all rows, so the rows stay in place
-    if the counted number of sources is small, and are salted otherwise."""
-    facts = per_source.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    if n_sources <= MAX_BROADCAST_SOURCES:
-        return df.join(F.broadcast(facts), same).drop("_source")
-    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    df = df.withColumn("_row_salt", F.pmod(F.col("hash"), F.lit(SALTS)).cast("int"))
-    return df.join(salted, same & (F.col("_row_salt") == F.col("_salt"))).drop("_source", "_salt", "_row_salt")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -93,7 +79,7 @@ def mix_thresholds(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (
         rows = slim.where("size > 0")
         if level:
             upper = F.shiftright(F.col("hash"), 63 - BITS * level)
-            rows = _spread(rows, state.select("source", "prefix"), n_sources).where(upper == F.col("prefix"))
+            rows = spread(rows, state.select("source", "prefix"), "source", n_sources, F.col("hash")).where(upper == F.col("prefix"))
         histogram = rows.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("size").alias("words"))
         running = Window.partitionBy("source").orderBy("bucket")
         facts = state.withColumnRenamed("source", "_source")
@@ -123,7 +109,7 @@ def mix_thresholds(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (
 
 def _copies(rows: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
     below = F.shiftright(F.col("hash"), 63 - BITS * LEVELS) < F.col("prefix")
-    return _spread(rows, state.drop("weight", "rest", "below"), n_sources).withColumn("copies", (F.col("whole") + below.cast("int")).cast("int"))
+    return spread(rows, state.drop("weight", "rest", "below"), "source", n_sources, F.col("hash")).withColumn("copies", (F.col("whole") + below.cast("int")).cast("int"))
 
 
 def mix_to_targets(docs: DataFrame, **options) -> DataFrame:
@@ -150,7 +136,5 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir):
-    from keyloom.llm.shared import table
-
     mixed = mix_to_targets(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -1,12 +1,18 @@
 """The queries of this subpackage: name -> function of (spark, folder of tables)."""
 
 from keyloom.llm.bpe import op7_bpe_codec
+from keyloom.llm.minhash import op10_minhash_dedup
 from keyloom.llm.mixing import op1_mix_sources
+from keyloom.llm.quality_rules import op5_quality_rules
+from keyloom.llm.topk import OP9_SQL, op9_exact_top_k
+from keyloom.llm.url_filter import op2_url_filter
+
+QUERIES = (op1_mix_sources, op2_url_filter, op5_quality_rules, op7_bpe_codec, op9_exact_top_k, op10_minhash_dedup)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op7_bpe_codec)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {"op9_exact_top_k": OP9_SQL}

@@ -9,7 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_KEYS = 20_000
+SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +50,18 @@ def drop(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, facts: DataFrame, key: str, n_keys: int, salt: Column) -> DataFrame:
+    """Left join one row of facts a key to many rows; null keys match each other.
+
+    A key may own a third of all rows.  With few keys, by count, the facts are broadcast and the rows stay in
+    place; otherwise both sides are salted.
+    """
+    facts = facts.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if n_keys <= MAX_BROADCAST_KEYS:
+        return rows.join(F.broadcast(facts), same, "left").drop("_key")
+    facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_row_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return rows.join(facts, same & (F.col("_row_salt") == F.col("_salt")), "left").drop("_key", "_salt", "_row_salt")
