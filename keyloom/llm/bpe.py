@@ -19,6 +19,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from keyloom.session import ship
 
 NONE = 1 << 60
-MEMO = 250_000  # words whose ids are remembered by a task
+MEMO = 400_000  # words whose ids are remembered by a task
+_NO_SPACES = "\x1c\x1d\x1e\x1f"
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -57,16 +59,21 @@ class Transducer:
                 self.parts[whole], self.order[whole] = (x, y), rank
                 length[whole] = length.get(x, 1) + length.get(y, 1)
         self.lookahead = max(length.values(), default=1)
-        # tokens inside a word, and tokens that end one (without the end mark)
-        self.inner = {t: i for t, i in vocab.items() if not end or not t.endswith(end)}
-        self.final = {t[: -len(end)]: i for t, i in vocab.items() if t.endswith(end)} if end else self.inner
-        self.fits: dict[tuple[int, int], bool] = {}
+        # tokens inside a word, and tokens that end one (without the end mark), each as a trie from the last
+        # symbol backwards; None leads to the token
+        self.inner: dict = {}
+        self.final: dict = {} if end else self.inner
+        for token, i in vocab.items():
+            ends = bool(end) and token.endswith(end)
+            node = self.final if ends else self.inner
+            for symbol in reversed(token[: -len(end)] if ends else token):
+                node = node.setdefault(symbol, {})
+            node[None] = i
+        self.fits: dict[int, bool] = {}  # by both tokens in one number
 
     def seam(self, a: int, b: int) -> bool:
         """Whether the merges of ``a`` and ``b`` side by side leave both as they are."""
-        key = (a, b)
-        if (found := self.fits.get(key)) is not None:
-            return found
+        key = a << 32 | b
         if len(self.fits) > 4 * MEMO:
             self.fits.clear()
         # (rank, left-to-right) of merges undone so far: a merge across the seam counts if it would have come first
@@ -104,14 +111,21 @@ class Transducer:
             text += ahead
             n += 1
             ahead = next(feed, None)
-            known = self.final if ahead is None else inner
-            for start in range(n - span if n > span else 0, n):
-                token = known.get(text[start:])
+            node = self.final if ahead is None else inner
+            start = n
+            while start:
+                start -= 1
+                node = node.get(text[start])
+                if node is None:
+                    last.append(-2)
+                    sizes.append(1)
+                    break
+                token = node.get(None)
                 if token is None:
                     continue
                 before = last[start]
                 if before >= 0:
-                    fit = fits.get((before, token))
+                    fit = fits.get(before << 32 | token)
                     if fit is None:
                         fit = self.seam(before, token)
                     if not fit:
@@ -149,6 +163,11 @@ class Transducer:
         return out[::-1]
 
 
+def _lower(text: str) -> str:
+    """Lower case character by character, without the rule for a final sigma."""
+    return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+
+
 class Tokenizer:
     """A ``tokenizers`` JSON file of the kind BPE with word ends: normalise, split, byte letters, merges."""
 
@@ -168,9 +187,14 @@ class Tokenizer:
         self.older: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
-    def normalise(text: str) -> str:
-        text = _SPACES.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+    def normalise(text: str) -> list[str]:
+        """The words of the normalised text: canonical composition, lower case, split at white space."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if any(c in text for c in _NO_SPACES):  # white space for Python, not for the vocabulary's pattern
+            words = _SPACES.split(text)
+            return [w for w in (_lower(w) for w in words) if w]
+        return _lower(text).split()
 
     def _word(self, word: str) -> tuple[int, ...]:
         ids: list[int] = []
@@ -199,7 +223,7 @@ class Tokenizer:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            for word in self.normalise(part).split(" "):
+            for word in self.normalise(part):
                 found = self.memo.get(word)
                 if found is None:
                     found = self.older.get(word) or self._word(word)
@@ -208,14 +232,11 @@ class Tokenizer:
         return ids
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """The library's form of ids without a decoder: token strings with single spaces, piece by piece."""
-        first = True
-        names = self.names
-        for i in ids:
-            name = names.get(i)
-            if name is not None:
-                yield name if first else " " + name
-                first = False
+        """The library's form of ids without a decoder, in pieces: token strings with single spaces."""
+        names, feed, gap = self.names, iter(ids), ""
+        while part := list(islice(feed, 4096)):
+            yield gap + " ".join([names[i] for i in part])
+            gap = " "
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text: byte letters back to bytes, bytes to characters as soon as they are complete."""
@@ -287,13 +308,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
                         all_ids.append(ids.astype("i4"))
                     hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out = hashlib.sha256()
-                    buffer: list[str] = []
                     for piece in tokenizer.decode(ids.tolist()):
-                        buffer.append(piece)
-                        if len(buffer) == 4096:
-                            out.update("".join(buffer).encode())
-                            buffer.clear()
-                    out.update("".join(buffer).encode())
+                        out.update(piece.encode())
                     decoded.append(out.hexdigest())
                 columns = [part.column("doc_id"), pa.array(n, pa.int64())]
                 if with_ids:
