@@ -58,17 +58,20 @@ class Models:
         return found
 
     def evidence(self, text: str | None) -> tuple[float, int]:
-        """Difference of the log-likelihoods, and the number of words."""
+        """Difference of the log-likelihoods, in which an expression counts once, and the number of different words."""
         found = expressions(text)
         words, ratios, total, before = self.words, self.ratios, 0.0, 0
+        met: set[int] = set()
         for w in found:
             word = words.get(w)
             if word is not None:
                 key = before << 32 | word[0]
-                ratio = ratios.get(key)
-                total += self.ratio(key, before, word) if ratio is None else ratio
+                if key not in met:
+                    met.add(key)
+                    ratio = ratios.get(key)
+                    total += self.ratio(key, before, word) if ratio is None else ratio
                 before = word[0]
-        return total, len(found)
+        return total, len(set(found))
 
 
 def _by_document(train: DataFrame, tally, schema: str, names: list[str]) -> DataFrame:
