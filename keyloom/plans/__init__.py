@@ -1,5 +1,5 @@
 """Query plans over the test tables, by family."""
 
-from keyloom.plans import zsets
+from keyloom.plans import keys, strings, zsets
 
-ALL = [*zsets.QUERIES]
+ALL = [q for family in (strings, keys, zsets) for q in family.QUERIES]
