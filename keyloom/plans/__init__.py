@@ -1,5 +1,5 @@
 """Query plans over the test tables, by family."""
 
-from keyloom.plans import keys, strings, zsets
+from keyloom.plans import hashes, keys, lists, sets, strings, zsets
 
-ALL = [q for family in (strings, keys, zsets) for q in family.QUERIES]
+ALL = [q for family in (strings, keys, hashes, lists, sets, zsets) for q in family.QUERIES]
