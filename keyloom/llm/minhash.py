@@ -192,7 +192,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("rep", "same", "group", "signature", "bundle", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
+    # members grow with the corpus, so texts meet them by a shuffle at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
     work = keep(texts, "minhash-texts").join(placed, "rep")
     parts = max(bundles, 1)
 
