@@ -1,0 +1,154 @@
+"""The operators that learn: odd inputs, and accuracy on documents they have not seen."""
+
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.llm import brown, ngrams, quality_model, quality_rules, secrets, toxicity, url_filter
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    folder = "/root/testdata/sf0.01"
+    return {t: spark.read.parquet(f"{folder}/{t}.parquet").cache() for t in ("documents", "labels", "pages")}
+
+
+def test_url_parts_and_rules(spark):
+    urls = ["https://WWW.Example.com/en/1?x=1", "http://a.example.com/en/", "http://x.com", "http://x.com/y", "b.net/es/1", None, "", "ftp://u@h.NET:8/fr/a#b", "http://example.com/en", "x://y://z/q", "http://net/es/", "http://xnet/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert len(got) == len(urls)
+    assert [(got[i].host, got[i].path) for i in (0, 4, 5, 6, 7, 9)] == [("www.example.com", "/en/1"), ("", ""), ("", ""), ("", ""), ("u@h.net:8", "/fr/a"), ("y:", "//z/q")]
+    assert [got[i].rule for i in range(len(urls))] == ["www.example.com/en/", "example.com/en/", None, "com/", None, None, None, None, "com/", None, "net/es/", None]
+    assert got[0].verdict == "allow" and got[1].verdict == "block" and all(r.verdict in ("allow", "block") for r in got.values())
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_url_trees_learn(tables):
+    rows = url_filter.judge_urls(tables["pages"]).where("rule IS NOT NULL").collect()
+    assert sum((r.block_score >= 0.5) == (r.verdict == "block") for r in rows) / len(rows) > 0.9
+
+
+def test_quality_rules(spark, odd, empty, tables):
+    rows = {r.doc_id: r for r in quality_rules.judge_quality(tables["documents"]).collect()}
+    texts = {r.doc_id: r.text or "" for r in tables["documents"].collect()}
+    for i, r in rows.items():
+        words = WORDS(texts[i])
+        windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        inside = {j + k for j, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in range(3)}
+        lines = [x for x in texts[i].split("\n") if WORDS(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", texts[i])), len(lines) - len(set(lines)), len(inside))
+        assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words)) and not (r.base_failed and r.kept)
+    good = {r.doc_id: r.quality for r in tables["labels"].collect()}
+    judged = [(good[i], r.kept) for i, r in rows.items() if i in good and not r.base_failed]
+    assert all(kept for q, kept in judged if q == 1)
+    assert sum(not kept for q, kept in judged if q == 0) > 0.5 * sum(q == 0 for q, _ in judged)
+    assert quality_rules.judge_quality(odd).count() == odd.count() and quality_rules.judge_quality(empty).count() == 0
+
+
+def test_js_distance(spark):
+    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+    df = spark.createDataFrame([(p, q)], "p array<double>, q array<double>")
+    assert df.select(quality_rules.js_distance(F.col("p"), F.col("q"))).first()[0] == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
+
+
+def test_ngram_model_sums_to_one(spark):
+    texts = spark.createDataFrame([("a b a c",), ("a b b",), (None,), ("c a b",)], "text string")
+    model = ngrams.train(texts)
+    for before in ("", "a", "a b", "zz"):
+        heads = [ngrams.word_keys(f"{before} {w}") for w in ("a", "b", "c", "never")]
+        base = model.log10([ngrams.word_keys(before)])[0][0]
+        end = 10 ** (base - _without_end(model, before))
+        mass = sum(10 ** (_without_end(model, f"{before} {w}".strip()) - _without_end(model, before)) for w in ("a", "b", "c", "never"))
+        assert len(heads) == 4 and mass + end == pytest.approx(1.0, abs=1e-5)
+
+
+def _without_end(model, text):
+    """Log probability of the words alone."""
+    keys = ngrams.word_keys(text)
+    start = np.uint64(ngrams.START & (2**64 - 1))
+    flat = np.concatenate([[start, start], keys]).astype(np.uint64)
+    if len(flat) == 2:
+        return 0.0
+    a, b, c = flat[:-2], flat[1:-1], flat[2:]
+    p = model.bigrams.join(ngrams.pair_key(b, c)) + model.singles.join(b) * model.unigrams.join(c)
+    ab = ngrams.pair_key(a, b)
+    return float(np.log10(model.trigrams.join(ngrams.pair_key(ab, c)) + model.pairs.join(ab) * p).sum())
+
+
+def test_quality_classifier(odd, empty, no_labels, tables):
+    rows = quality_model.classify(tables["documents"], tables["labels"]).collect()
+    good = {r.doc_id: r.quality for r in tables["labels"].collect()}
+    kept = collections.Counter((good[r.doc_id], r.kept) for r in rows if r.doc_id in good)
+    assert kept[1, False] <= 0.01 * kept[1, True] and kept[0, False] > 4 * kept[0, True]
+    assert all(r.kept for r in quality_model.classify(odd, no_labels).collect())
+    assert quality_model.classify(odd, tables["labels"]).count() == odd.count()
+    assert quality_model.classify(empty, no_labels).count() == 0
+    assert quality_model.good_documents(odd, tables["labels"]).columns == odd.columns
+
+
+def test_toxicity(odd, empty, no_labels, tables):
+    rows = toxicity.score_toxicity(tables["documents"], tables["labels"]).collect()
+    label = {r.doc_id: r.toxic for r in tables["labels"].collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    seen = [(r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
+    toxic, plain = [s for s, y in seen if y], [s for s, y in seen if not y]
+    assert sum((a > b) + 0.5 * (a == b) for a in toxic for b in plain) / (len(toxic) * len(plain)) > 0.6
+    nothing = toxicity.score_toxicity(odd, no_labels)
+    assert nothing.count() == odd.count() and len({r.score for r in nothing.collect()}) == 1
+    assert toxicity.score_toxicity(odd, tables["labels"]).count() == odd.count()
+    assert toxicity.score_toxicity(empty, no_labels).count() == 0
+
+
+def test_secrets(spark, odd, empty, tables):
+    docs = tables["documents"]
+    forest = secrets.Forest(secrets.findings_by_form(docs))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    masked = {r.doc_id: r.text for r in secrets.redacted(docs, forest).collect()}
+    for r in secrets.scan(docs, forest).collect():
+        true = {m.span() for m in re.finditer(r'AKIA[0-9A-Z]{16}|(?<=token = ")[0-9a-f]{40}', texts[r.doc_id])}
+        assert true <= {(s.start, s.start + s.length) for s in r.spans}
+        assert r.n_secrets == len(r.spans) <= r.n_candidates
+        assert (masked[r.doc_id] != texts[r.doc_id]) == (r.n_secrets > 0)
+        assert not re.search(r"AKIA[0-9A-Z]{16}", masked[r.doc_id])
+    assert secrets.scan(odd, forest).count() == odd.count() and secrets.scan(empty, forest).count() == 0
+    assert secrets.redacted(odd, forest).columns == odd.columns
+    assert secrets.Forest(secrets.findings_by_form(empty)).votes == "1.0D"
+
+
+def test_exchange_finds_classes():
+    """Words of two kinds that alternate end in two classes."""
+    rng = np.random.default_rng(3)
+    pairs = np.zeros((12, 12))
+    for i in range(12):
+        for j in range(12):
+            pairs[i, j] = rng.integers(20, 40) if i % 2 != j % 2 else 0
+    order = rng.permutation(12)
+    cls = brown.exchange(pairs[np.ix_(order, order)], classes=2)
+    assert len({(order[i] % 2, cls[i]) for i in range(12)}) == 2
+
+
+def test_brown(odd, empty, tables):
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    rows = brown.score_documents(tables["documents"], fold != 1).collect()
+    tokens = {r.doc_id: [*WORDS((r.text or "").translate(LOWER)), "\n"] for r in tables["documents"].collect()}
+    counts = collections.Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        own = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
+    assert sum(r.score for r in rows if not r.train) > sum(r.base_score for r in rows if not r.train)
+    assert brown.score_documents(odd, F.col("doc_id") != 1).count() == odd.count()
+    assert brown.score_documents(odd, F.lit(False)).count() == odd.count()
+    assert brown.score_documents(empty, F.lit(True)).count() == 0
