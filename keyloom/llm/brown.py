@@ -146,7 +146,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             table[k, :] -= r
             table[:, k] -= l_
             table[k, k] -= own
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
+            # sums as they are wherever the word goes: its neighbours' rows and columns hold it in any case
+            rows, cols = table.sum(axis=1) + l_, table.sum(axis=0) + r
             out, into = r.sum() + own, l_.sum() + own
             # change of sum(n log n) of cells, less that of the row and column sums, for each class the word may join
             cells_r, cells_l = xlogx(table + r[None, :]) - xlogx(table), xlogx(table + l_[:, None]) - xlogx(table)
@@ -356,11 +357,11 @@ def _scores(coded, steps, cls, c, t, size, unknown, n, v, n_train) -> DataFrame:
             before, now = seq[:-1], seq[1:]
             token = (now != BEGIN) & (now != RARE)
             here = doc[1:]
-            base_sum = np.bincount(here[token], weights=np.log10(b[now[token]]), minlength=docs)
+            base_sum = np.bincount(here[token], weights=np.log10(b[now[token]]), minlength=docs).astype(float)
             known = np.bincount(here[token], weights=(now[token] >= 0) | (n_train > 0), minlength=docs).astype(np.int64)
             ok = token & (before != RARE)
             p = ALPHA * t[classes[before[ok]], classes[now[ok]]] * e[now[ok]] + (1 - ALPHA) * b[now[ok]]
-            score = np.bincount(here[ok], weights=np.log10(p), minlength=docs)
+            score = np.bincount(here[ok], weights=np.log10(p), minlength=docs).astype(float)
             total = np.bincount(here[now != BEGIN], minlength=docs).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("train"), pa.array(total), pa.array(known), pa.array(base_sum), pa.array(score)], names=["row", "doc_id", "train", "n_tokens", "known", "base", "sum"])
 
