@@ -93,3 +93,28 @@ def increment_field(register: Column, width: int, offset: int, signed: bool, del
     if overflow == "fail":
         return F.when(total.between(low, high), total)
     return F.pmod(total - F.lit(low), F.lit(1 << width)) + F.lit(low)
+
+
+def fragment_get(frags: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(key, pos)`` with ``bit``; only the fragment of each position is met."""
+    asked = asked.withColumn("frag_id", F.floor(F.col("pos") / FRAGMENT_BITS))
+    inside = (F.col("pos") % FRAGMENT_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", (inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(pos % 8 as int)) & 1")
+    found = asked.join(frags, ["key", "frag_id"], "left").withColumn("_byte", byte)
+    return found.select("key", "pos", F.coalesce(bit, F.lit(0)).alias("bit"))
+
+
+def fragment_first_set(frags: DataFrame) -> DataFrame:
+    """First set position of each key: of the first fragment with a bit, the first byte that is not zero."""
+    first = frags.where(F.bitmap_count("bits") > 0).groupBy("key").agg(F.min_by("bits", "frag_id").alias("bits"), F.min("frag_id").alias("frag_id"))
+    zeros = (F.length(F.regexp_extract(F.hex("bits"), "^(00)*", 0)) / 2).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", zeros + 1, F.lit(1))), 16, 10).cast("int")
+    low = F.round(F.log2(byte.bitwiseAND(-byte).cast("double"))).cast("int")
+    return first.select("key", (F.col("frag_id") * FRAGMENT_BITS + zeros * 8 + low).cast("long").alias("pos"))
+
+
+def fragment_intersection(frags: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitwise and, fragment by fragment; a fragment that one key lacks is zero."""
+    chosen = frags.where(F.col("key").isin(keys)).groupBy("frag_id").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("_n"))
+    return chosen.where(F.col("_n") == len(set(keys))).drop("_n")

@@ -57,4 +57,9 @@ QUERIES = [
     query("tsetbit", lambda t: b.fragments(b.set_bits(flips(t))[0]).select("key", "frag_id", F.bitmap_count("bits").alias("n")), f"SELECT key, pos // 8192 AS frag_id, count(*) AS n FROM (SELECT key, pos FROM {FLIPS} GROUP BY key, pos HAVING arg_max(bit, seq) = 1) GROUP BY 1, 2"),
     query("tbitcount", lambda t: b.fragment_counts(b.fragments(event_bits(t))), f"SELECT key, count(*) AS n FROM {EVENT_BITS} GROUP BY key"),
     query("tbitop_or", lambda t: b.fragment_union(b.fragments(event_bits(t)), THREE).select("frag_id", F.bitmap_count("bits").alias("n")), f"SELECT pos // 8192 AS frag_id, count(DISTINCT pos) AS n FROM {EVENT_BITS} WHERE {IN_THREE} GROUP BY 1"),
+    query("tgetbit", lambda t: b.fragment_get(b.fragments(event_bits(t)), t.events.where("user_id < 10").select(F.concat(F.lit("act:"), "event_type").alias("key"), F.col("user_id").alias("pos")).distinct()),
+          f"SELECT a.key, a.pos, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS bit FROM (SELECT DISTINCT 'act:' || event_type AS key, user_id AS pos FROM events WHERE user_id < 10) a LEFT JOIN {EVENT_BITS} e ON a.key = e.key AND a.pos = e.pos"),
+    query("tbitpos", lambda t: b.fragment_first_set(b.fragments(event_bits(t))), f"SELECT key, min(pos) AS pos FROM {EVENT_BITS} GROUP BY key"),
+    query("tbitop_and", lambda t: b.fragment_intersection(b.fragments(event_bits(t)), THREE).select("frag_id", F.bitmap_count("bits").alias("n")),
+          f"SELECT pos // 8192 AS frag_id, count(*) AS n FROM (SELECT pos FROM {EVENT_BITS} WHERE {IN_THREE} GROUP BY pos HAVING count(*) = 3) GROUP BY 1"),
 ]

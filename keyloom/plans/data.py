@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import Scripts
 from keyloom.operators import hashes, sketches as sk, sorting
 from keyloom.plans.base import query
-from keyloom.plans.fixtures import CUSTOMER_HASH, NATION_ZSET, WRITES, customer_hash, nation_zset, writes
+from keyloom.plans.fixtures import CUSTOMER_HASH, NATION_ZSET, PART_NAMES, SUPPLIER_SETS, WRITES, customer_hash, nation_zset, part_names, supplier_sets, writes
 from keyloom.sources import changelog, dumps, snapshots
 from keyloom.streaming import counters, folds
 
@@ -80,7 +80,38 @@ def catalogue(t):
 
 BIG = f"(SELECT key, count(*) AS n, CAST(sum(octet_length(encode(member))) AS BIGINT) AS n_bytes FROM {NATION_ZSET} GROUP BY key)"
 
+def every_element(t):
+    """All elements of all structures in one table: ``(type, key, element, value)``."""
+    frames = [
+        customer_hash(t).select(F.lit("hash").alias("type"), "key", F.col("field").alias("element"), "value"),
+        nation_zset(t).select(F.lit("zset"), "key", "member", F.round(F.col("score") * 100).cast("long").cast("string")),
+        supplier_sets(t).select(F.lit("set"), "key", "member", F.lit(None).cast("string")),
+        part_names(t).select(F.lit("string"), "key", F.lit("").alias("e"), "value"),
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+EVERY_ELEMENT = (
+    f"SELECT 'hash' AS type, key, field AS element, value FROM {CUSTOMER_HASH} UNION ALL SELECT 'zset', key, member, CAST(CAST(round(score * 100) AS BIGINT) AS VARCHAR) FROM {NATION_ZSET} "
+    f"UNION ALL SELECT 'set', key, member, NULL FROM {SUPPLIER_SETS} UNION ALL SELECT 'string', key, '', value FROM {PART_NAMES}"
+)
+
+
+def commandlist(t):
+    from keyloom.catalog import describe
+
+    return describe(t.spark).where("NOT has_sql").select("name", "family")
+
+
 QUERIES = [
+    query("iterall", every_element, EVERY_ELEMENT),
+    query("commandlist", commandlist),
+    query("eval", lambda t: Scripts().eval(writes(t), "cents % 7").select("key", "seq", "result"), f"SELECT key, seq, cents % 7 AS result FROM {WRITES}"),
+    query("binlogstart", lambda t: changelog.bounds(log(t)).select("first"), f"SELECT min(seq) AS first FROM {WRITES}"),
+    query("binlogmeta", lambda t: log(t).orderBy("seq").limit(1).select("seq", "ts_ms", "key", "op"), f"SELECT seq, ts_ms, key, op FROM {LOG} ORDER BY seq LIMIT 1"),
     query("pfcount", pfcount, "SELECT 'uniq:' || l_returnflag AS key, count(DISTINCT l_orderkey) AS exact, 1 AS close FROM lineitem GROUP BY 1"),
     query("pfmerge", pfmerge, "SELECT 'all' AS key, count(DISTINCT l_orderkey) AS exact, 1 AS close FROM lineitem"),
     query("pfadd", lambda t: sk.registers(flag_orders(t), "l_orderkey")),
