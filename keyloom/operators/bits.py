@@ -29,15 +29,27 @@ def count_bits(bits: DataFrame, first_byte: int | None = None, last_byte: int |
     return bits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_set(bits: DataFrame) -> DataFrame:
-    return bits.groupBy("key").agg(F.min("pos").alias("pos"))
+def first_set(bits: DataFrame, first_byte: int = 0, last_byte: int | None = None) -> DataFrame:
+    """The first set position of each key, within an inclusive range of bytes if there is one; keys without any are
+    left out."""
+    inside = F.col("pos") >= 8 * first_byte
+    if last_byte is not None:
+        inside = inside & (F.col("pos") <= 8 * last_byte + 7)
+    return bits.where(inside).groupBy("key").agg(F.min("pos").alias("pos"))
 
 
-def first_clear(bits: DataFrame) -> DataFrame:
-    """The first position without a bit: one after the last of the run that starts at 0."""
+def first_clear(bits: DataFrame, first_byte: int = 0, last_byte: int | None = None) -> DataFrame:
+    """The first position without a bit: one after the last of the run that starts at the range's first position.
+
+    Without an end the bitmap goes on with zeros; within a given end a full range has none, which is -1."""
+    start = 8 * first_byte
     rank = F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1
-    runs = bits.withColumn("_i", rank).where(F.col("pos") == F.col("_i")).groupBy("key").agg(F.max("pos").alias("_last"))
-    return bits.select("key").distinct().join(runs, "key", "left").select("key", (F.coalesce("_last", F.lit(-1)) + 1).alias("pos"))
+    inside = bits.where(F.col("pos") >= start).withColumn("_i", rank)
+    runs = inside.where(F.col("pos") == F.col("_i") + start).groupBy("key").agg(F.max("pos").alias("_last"))
+    found = F.coalesce("_last", F.lit(start - 1)) + 1
+    if last_byte is not None:
+        found = F.when(found <= 8 * last_byte + 7, found).otherwise(-1)
+    return bits.select("key").distinct().join(runs, "key", "left").select("key", found.cast("long").alias("pos"))
 
 
 def combine(bits: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -45,6 +45,8 @@ QUERIES = [
     query("bitcount_range", lambda t: b.count_bits(event_bits(t), 0, 0), f"SELECT key, count(*) AS n FROM {EVENT_BITS} WHERE pos BETWEEN 0 AND 7 GROUP BY key"),
     query("bitpos_set", lambda t: b.first_set(event_bits(t)), f"SELECT key, min(pos) AS pos FROM {EVENT_BITS} GROUP BY key"),
     query("bitpos_clear", lambda t: b.first_clear(event_bits(t)), f"SELECT k.key, (SELECT min(p) FROM range(0, 100000) r(p) WHERE NOT EXISTS (SELECT 1 FROM {EVENT_BITS} e WHERE e.key = k.key AND e.pos = r.p)) AS pos FROM (SELECT DISTINCT key FROM {EVENT_BITS}) k"),
+    query("bitpos_clear_range", lambda t: b.first_clear(event_bits(t), 0, 1),
+          f"SELECT k.key, coalesce((SELECT min(p) FROM range(0, 16) r(p) WHERE NOT EXISTS (SELECT 1 FROM {EVENT_BITS} e WHERE e.key = k.key AND e.pos = r.p)), -1) AS pos FROM (SELECT DISTINCT key FROM {EVENT_BITS}) k"),
     query("bitop_and", lambda t: b.combine(event_bits(t), THREE, "and"), f"SELECT pos FROM {EVENT_BITS} WHERE {IN_THREE} GROUP BY pos HAVING count(*) = 3"),
     query("bitop_or", lambda t: b.combine(event_bits(t), THREE, "or"), f"SELECT DISTINCT pos FROM {EVENT_BITS} WHERE {IN_THREE}"),
     query("bitop_xor", lambda t: b.combine(event_bits(t), THREE, "xor"), f"SELECT pos FROM {EVENT_BITS} WHERE {IN_THREE} GROUP BY pos HAVING count(*) % 2 = 1"),

@@ -127,6 +127,9 @@ def test_field_overflow(spark):
 def test_bit_positions(spark):
     full = spark.createDataFrame([("k", i) for i in range(16)], "key string, pos long")
     assert bits.first_clear(full).first().pos == 16
+    assert bits.first_clear(full, 0, 1).first().pos == -1
+    assert bits.first_clear(full, 1, 5).first().pos == 16
+    assert bits.first_set(full, 1, 1).first().pos == 8
     holes = spark.createDataFrame([("k", 3), ("k", 5)], "key string, pos long")
     assert bits.first_clear(holes).first().pos == 0
     assert bits.first_set(holes).first().pos == 3
