@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from keyloom.session import ship
 
 NONE = 1 << 60
-MEMO = 400_000  # words whose ids are remembered by a task
+MEMO = 120_000  # words whose ids are remembered by a task
 _NO_SPACES = "\x1c\x1d\x1e\x1f"
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -74,7 +74,7 @@ class Transducer:
     def seam(self, a: int, b: int) -> bool:
         """Whether the merges of ``a`` and ``b`` side by side leave both as they are."""
         key = a << 32 | b
-        if len(self.fits) > 4 * MEMO:
+        if len(self.fits) > 2 * MEMO:
             self.fits.clear()
         # (rank, left-to-right) of merges undone so far: a merge across the seam counts if it would have come first
         limit = NONE

@@ -33,7 +33,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5  # a pair at 0.85 shares no band with probability (1 - 0.85^5)^24 < 1e-6
 LEAST_AGREEMENT = 0.65  # of the signature; six standard deviations below 0.85
 CHUNK_DOCS, CHUNK_SHINGLES = 512, 2_000_000
-MEMO = 300_000
+MEMO = 150_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
