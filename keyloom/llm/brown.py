@@ -109,6 +109,13 @@ def encode(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     return keep(coded.withColumn("row", F.monotonically_increasing_id()), "brown-coded")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that work arrays over all their tokens stay small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All documents of a batch in one row of numbers with their edges, the document of each place, and the rare keys."""
     ids, rare = batch.column("ids"), batch.column("rare")
@@ -179,7 +186,7 @@ def clustered_pairs(coded: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * n, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             seq, _, _ = _sequences(batch)
             a, b = seq[:-1], seq[1:]
             ok = (a >= 0) & (a < n) & (b >= 0) & (b < n)
@@ -208,7 +215,7 @@ def assign(coded: DataFrame, keys: np.ndarray, cls: np.ndarray, pairs: np.ndarra
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_keys, classes = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             seq, _, rare = _sequences(batch)
             key = np.zeros(len(seq), np.int64)
             key[seq >= 0] = own_keys[seq[seq >= 0]]
@@ -249,7 +256,7 @@ def _rare_places(coded: DataFrame, cls: np.ndarray, counts: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, c = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             seq, doc, rare = _sequences(batch)
             at = np.flatnonzero(seq == RARE)
             before, after = classes[seq[at - 1]], classes[seq[at + 1]]
@@ -273,7 +280,7 @@ def _transitions(coded: DataFrame, cls: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = shared.value, np.zeros((CLASSES + 2) * width, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             seq, _, _ = _sequences(batch)
             a, b = classes[seq[:-1]], classes[seq[1:]]
             ok = (a >= 0) & (b >= 0) & (seq[1:] != BEGIN) & (seq[:-1] != FINISH)
@@ -351,7 +358,7 @@ def _scores(coded, steps, cls, c, t, size, unknown, n, v, n_train) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, e, b = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             seq, doc, _ = _sequences(batch)
             docs = batch.num_rows
             before, now = seq[:-1], seq[1:]
