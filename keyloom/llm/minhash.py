@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,19 +31,37 @@ from keyloom.llm.words import find_words, lower_ascii
 from keyloom.session import ship
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5  # a pair at 0.85 shares no band with probability (1 - 0.85^5)^24 < 1e-6
-LEAST_AGREEMENT = 0.65  # of the signature; six standard deviations below 0.85
+PERCENT = 80  # least overlap of near-duplicates
+ROWS = 5
+MISSED = 1e-6  # greatest probability that a pair at the least overlap shares no band
 CHUNK_DOCS, CHUNK_SHINGLES = 512, 2_000_000
 MEMO = 150_000
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROW = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _words: dict[str, int] = {}
 
 
+def bands_for(percent: int) -> int:
+    """How many bands find pairs that overlap by ``percent``: 24 at 85, 35 at 80."""
+    missed_by_one = max(1 - (percent / 100) ** ROWS, 1e-9)
+    return max(1, math.ceil(math.log(MISSED) / math.log(missed_by_one)))
+
+
+def least_agreement(percent: int) -> float:
+    """Share of the signature that pairs at ``percent`` have in common, less six standard deviations."""
+    share = percent / 100
+    return share - 6 * math.sqrt(share * (1 - share) / (bands_for(percent) * ROWS))
+
+
+@lru_cache
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of ``n`` universal hash functions."""
+    rng = np.random.default_rng(20240301)
+    return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
@@ -72,17 +91,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over the set."""
-    out = np.full(len(_A), np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(s: np.ndarray, n: int) -> np.ndarray:
+    """The least value of each of ``n`` hash functions over the set."""
+    factors, summands = _functions(n)
+    out = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(s), 1024):
-        hashed = s[start : start + 1024, None] * _A
-        hashed += _B
+        hashed = s[start : start + 1024, None] * factors
+        hashed += summands
         np.minimum(out, hashed.min(axis=0), out=out)
     return out
 
 
-def _sign(docs: DataFrame) -> DataFrame:
+def _sign(docs: DataFrame, n_bands: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -94,9 +114,9 @@ def _sign(docs: DataFrame) -> DataFrame:
                     if not len(s):
                         sets.append(None), bands.append(None), signatures.append(None)
                         continue
-                    least = minima(s)
+                    least = minima(s, n_bands * ROWS)
                     sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys = (least.reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                    keys = (least.reshape(n_bands, ROWS) * _ROW).sum(axis=1, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64)
                     bands.append(_mix(keys).view(np.int64))
                     signatures.append((_mix(least) & np.uint64(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -119,7 +139,7 @@ def links(ids: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], first
     stops = np.cumsum(sizes)
     starts = stops - sizes
     mark = np.zeros(len(values), dtype=np.int32)
-    least = LEAST_AGREEMENT * signatures.shape[1]
+    least = least_agreement(percent) * signatures.shape[1]
     out = []
     for a in range(n):
         possible = (second if first[a] else np.zeros(n, dtype=bool)) | (first if second[a] else np.zeros(n, dtype=bool))
@@ -144,12 +164,12 @@ def links(ids: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], first
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components of documents whose shingle sets overlap by ``percent`` or more of their union.
 
     Input: ``doc_id`` (integer), ``text``; other columns are ignored.  Output: ``doc_id``, ``n_shingles``, ``component_id`` (the
-    smallest id reachable, itself included), ``kept`` (whether that is its own).  Bands find pairs at 85 or more
-    with all but a millionth's probability, so lower percentages need more bands.
+    smallest id reachable, itself included), ``kept`` (whether that is its own).  There are as many bands as find a
+    pair at ``percent`` with all but a millionth's probability, so lower percentages need more.
 
     Null and empty texts have no shingles and link with nothing.  A null id links with nothing either, is
     its own component (null) and kept.  Rows that repeat an id are separate documents under one name: each
@@ -157,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     gives an empty result.
     """
     ship(docs.sparkSession)
-    rows = keep(_sign(docs), "minhash-rows")
+    rows = keep(_sign(docs, bands_for(percent)), "minhash-rows")
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = keep(
         named.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
@@ -217,7 +237,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent:
     return work.repartition(parts, "bundle", "i", "j").groupBy("bundle", "i", "j").applyInPandas(confirm, "u long, v long")
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose ids ``near_duplicates`` keeps, with their columns."""
     judged = near_duplicates(docs, percent).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept"))
     gone = judged.where("not _kept").select("_gone")
@@ -225,4 +245,4 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op10_minhash_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
@@ -43,7 +44,8 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(spark, percent):
     rng = random.Random(5)
     texts = []
     for _ in range(25):
@@ -55,9 +57,9 @@ def test_near_duplicates(spark):
             texts.append(" ".join(copy))
     rng.shuffle(texts)
     rows = list(enumerate(texts, start=3)) + [(1, None), (2, "  ")]
-    found = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
     sets = {i: shingle_set(t) for i, t in rows}
-    edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     wanted = roots(sets, edges)
     assert {i: r.component_id for i, r in found.items()} == wanted
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == wanted[i]) for i, r in found.items())
