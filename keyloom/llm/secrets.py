@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are long runs of key-like characters.  The forest sees the candidate's length and character
+Candidates are long runs of key-like characters, whatever is assigned to a credential's name, and passwords in URLs.
+Values of a form that only secrets have are secret; the forest decides about the others.  It sees the candidate's length and character
 transitions, how much of it dictionary words cover, whether it stands in a path, and the words beside it.  It learns from
 labelled findings; then its trees are one SQL expression, so that scanning and redacting are plain projections of
 the documents, without a join.
@@ -17,7 +18,19 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.shared import keep, table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+#: What may stand between a credential's name and its value; Java wants it bounded to look back over it.
+ASSIGNMENT = r"(?i:token(?!i[sz])|secret|passw|passphrase|pwd|api.?key|access.?key|credential|private|auth(?!ors?\b))[\w.-]{0,20}[\"'`]?\s{0,2}[:=][=>]?\s{0,2}[\"'`]?(?:(?i:bearer|basic|token)\s{1,2})?"
+BEARER = r"(?i:\bbearer)\s{1,2}"
+URL_USER = r"://[^\s/@:]{0,32}:"
+#: Assigned values (quoted ones whole), passwords of URLs, and runs, which end at '=' and ':' but for padding.  The short looks back come first as
+#: nearly all places fail them.
+CANDIDATE = (
+    rf"(?<=[\s:=>\"'`])(?<=[:=>]\s{{0,2}}[\"'`]?|(?i:bearer|basic|token)\s{{1,2}})(?<={ASSIGNMENT}|{BEARER})"
+    r"(?:(?<=[\"'`])[^\"'`\n]{4,}+(?=[\"'`])|[^\s\"'`,;<>]{4,}+)"
+    rf"|(?<=:)(?<={URL_USER})[^\s/@]{{3,}}+(?=@)"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\"'-]))?"
+)
+SHORTEST = 4  # characters of a candidate and what parts it from the next, less one
 CONTEXT = 40  # characters looked at on each side
 TRAIN_FINDINGS = 20_000  # about so many labelled findings train the forest
 TREES, DEPTH = 12, 5
@@ -28,12 +41,13 @@ DICTIONARY = (
     "http https www com html page index image file path home user data test example lorem ipsum"
 ).split()
 #: Words next to a value that name a credential.
-NAMING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|private|auth)"
+NAMING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|private|auth|bearer)"
 FEATURES = ("length", "transitions", "digits", "uppers", "lowers", "distinct", "coverage", "in_path", "named", "assigned", "quoted", "separators")
 
-#: Findings of these forms are labelled secret.
-KNOWN_FORMS = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(live|test)_[A-Za-z0-9]{20,})$"
-ASSIGNED = NAMING[:-1] + r")[\w.-]*[\"']?\s*[:=]\s*[\"']?$"
+#: Candidates that hold one of these are secret.
+KNOWN_FORMS = r"(?<![A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(live|test)_[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
+#: A letter beside a digit, or a capital after a small letter; words and numbers, also joined by separators, have neither.
+MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]"
 
 
 def split_at_candidates(docs: DataFrame) -> DataFrame:
@@ -42,6 +56,31 @@ def split_at_candidates(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_found", found).withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", CANDIDATE, -1)))
 
 
+def _contexts() -> Column:
+    """``found``, ``left`` and ``right`` of each candidate: the text beside it, other candidates in it included."""
+    gap, found = (lambda i: F.coalesce(F.get("_gaps", i), F.lit(""))), (lambda i: F.coalesce(F.get("_found", i), F.lit("")))
+    reach = range(CONTEXT // (SHORTEST + 1), 0, -1)
+
+    def beside(x: Column, i: Column) -> Column:
+        before = [piece for j in reach for piece in (F.right(gap(i - j), F.lit(CONTEXT)), F.right(found(i - j), F.lit(CONTEXT)))]
+        after = [piece for j in reversed(reach) for piece in (F.left(found(i + j), F.lit(CONTEXT)), F.left(gap(i + j + 1), F.lit(CONTEXT)))]
+        left, right = F.concat(*before, F.right(gap(i), F.lit(CONTEXT))), F.concat(F.left(gap(i + 1), F.lit(CONTEXT)), *after)
+        return F.struct(x.alias("found"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right"))
+
+    return F.transform("_found", beside)
+
+
+def has_form(found: Column, left: Column, right: Column) -> Column:
+    """Whether a candidate is of a form that only secrets have: a vendor's, a random-looking value assigned to a
+    credential's name or borne in a header, or a URL's password."""
+    one_piece, digit = ~F.regexp_like(found, F.lit(r"\s")), F.regexp_like(found, F.lit("[0-9]"))
+    long = F.length(found) >= 16
+    assigned = F.regexp_like(left, F.lit(f"({ASSIGNMENT})$")) & (long | F.regexp_like(found, F.lit("[A-Za-z]")))
+    borne = F.regexp_like(left, F.lit(f"({BEARER})$")) & long
+    in_url = F.regexp_like(left, F.lit(f"({URL_USER})$")) & F.startswith(right, F.lit("@"))
+    return F.regexp_like(found, F.lit(KNOWN_FORMS)) | (one_piece & ((digit & (assigned | borne)) | in_url))
+
+
 def _share(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.length(text)
 
@@ -67,19 +106,19 @@ def features(found: Column, left: Column, right: Column) -> Column:
 
 def _candidates(parts: DataFrame) -> DataFrame:
     """One row a candidate: ``found``, ``left``, ``right``."""
-    rows = parts.where(F.size("_found") > 0).select(F.posexplode("_found").alias("i", "found"), "_gaps")
-    gap = lambda i: F.get("_gaps", i)
-    return rows.select("found", F.right(gap(F.col("i")), F.lit(CONTEXT)).alias("left"), F.left(gap(F.col("i") + 1), F.lit(CONTEXT)).alias("right"))
+    return parts.where(F.size("_found") > 0).select(F.explode(_contexts()).alias("at")).select("at.found", "at.left", "at.right")
 
 
 def findings_by_form(docs: DataFrame, at_most: int = TRAIN_FINDINGS) -> DataFrame:
     """Labelled findings ``(found, left, right, secret)`` from documents, for want of hand-made ones.
 
-    Candidates of a vendor's form and random-looking values assigned to a credential's name are secret, all
-    others are not.  Of each kind about half of ``at_most`` are drawn, by a hash of the candidate."""
+    Candidates of a secret's form are secret; words and numbers that no credential's name precedes are not.  What
+    others are is not known, so nothing is learnt from them.  Of each kind about half of ``at_most`` are drawn, by a hash of the candidate."""
     rows = _candidates(split_at_candidates(docs.select("text"))).distinct()
-    form = F.regexp_like("found", F.lit(KNOWN_FORMS)) | (F.regexp_like("left", F.lit(ASSIGNED)) & F.regexp_like("found", F.lit("[0-9]")))
-    rows = keep(rows.withColumn("secret", form.cast("int")), "secret-findings")
+    beside = F.col("found"), F.col("left"), F.col("right")
+    harmless = ~F.regexp_like("found", F.lit(MIXED)) & ~F.regexp_like("left", F.lit(NAMING))
+    rows = rows.withColumn("secret", F.when(has_form(*beside), 1).when(harmless, 0)).where("secret IS NOT NULL")
+    rows = keep(rows, "secret-findings")
     counts = {r["secret"]: r["count"] for r in rows.groupBy("secret").count().collect()}
     draw = F.pmod(F.xxhash64("found", "left", F.lit(23)), F.lit(1_000_000))
     limit = {k: int(1_000_000 * min(1.0, at_most / 2 / n)) for k, n in counts.items()}
@@ -95,11 +134,11 @@ def _tree_sql(lines: list[str]) -> str:
     low = _tree_sql(lines)
     lines.pop(0)  # Else
     high = _tree_sql(lines)
-    return f"CASE WHEN f[{feature}] <= {cut}D THEN {low} ELSE {high} END"
+    return f"CASE WHEN c.f[{feature}] <= {cut}D THEN {low} ELSE {high} END"
 
 
 class Forest:
-    """Votes of a random forest as a SQL expression over an array of features."""
+    """Votes of a random forest as a SQL expression over a candidate ``c`` with its features ``c.f``."""
 
     def __init__(self, findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5):
         rows = keep(findings.select(features(F.col("found"), F.col("left"), F.col("right")).alias("f"), F.col("secret").cast("double").alias("label")), "secret-features")
@@ -114,9 +153,11 @@ class Forest:
     def mark(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         """Adds ``_found``, ``_gaps`` and ``_secret``, one flag a candidate."""
         parts = split_at_candidates(docs)
-        at = F.transform("_found", lambda x, i: features(x, F.get("_gaps", i), F.get("_gaps", i + 1)))
-        votes = F.expr(f"transform(_features, f -> {self.votes} >= {threshold}D)")
-        return parts.withColumn("_features", F.when(F.size("_found") > 0, at).otherwise(F.array().cast("array<array<double>>"))).withColumn("_secret", votes).drop("_features")
+        judge = lambda c: F.struct(has_form(c["found"], c["left"], c["right"]).alias("form"), features(c["found"], c["left"], c["right"]).alias("f"))
+        secret = F.expr(f"transform(_judged, c -> c.form OR {self.votes} >= {threshold}D)")
+        none = F.array().cast("array<struct<form:boolean,f:array<double>>>")
+        judged = F.when(F.size("_found") > 0, F.transform(_contexts(), judge)).otherwise(none)
+        return parts.withColumn("_judged", judged).withColumn("_secret", secret).drop("_judged")
 
 
 def _positions() -> Column:
