@@ -6,7 +6,7 @@ shown contributes at most what the list shows next (upper bound) and at least wh
 (lower bound).  Reading stops once no outsider's upper bound reaches the k-th best lower bound; the scores of
 what is left are then resolved in whole integers.
 
-Candidates and queries are dealt into blocks by hash; a task reads the lists of one candidate block for one
+Candidates and queries are dealt into blocks by row, whatever their ids; a task reads the lists of one candidate block for one
 query block, for all queries at once, and the k best of the blocks are merged.
 """
 
@@ -42,6 +42,7 @@ def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     lists = np.sort(x, axis=0).astype(float)  # component by component, ascending
     low_end, high_end = (lists[0], lists[-1]) if n else (np.zeros(dim), np.zeros(dim))
     xf, up, down = x.astype(float), np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
+    own = query_ids[:, None] == ids  # never candidates
     open_rows = np.arange(len(q))  # queries still reading
     depth = max(4 * k, n // 8)
     while len(open_rows):
@@ -54,13 +55,13 @@ def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
             u, d = up[open_rows], down[open_rows]
             upper = u @ np.maximum(xf, top).T + d @ np.minimum(xf, bottom).T
             lower = u @ np.where(xf >= top, xf, low_end).T + d @ np.where(xf <= bottom, xf, high_end).T
-            # one more than k, as the query's own row may be among them
-            bar = np.partition(lower, n - min(k + 1, n), axis=1)[:, n - min(k + 1, n)]
-            alive = upper >= (bar - slack)[:, None]
-            done = alive.sum(axis=1) <= max(4 * (k + 1), n // 4)
+            lower[own[open_rows]] = -np.inf
+            bar = np.partition(lower, n - min(k, n), axis=1)[:, n - min(k, n)]
+            alive = (upper >= (bar - slack)[:, None]) & ~own[open_rows]
+            done = alive.sum(axis=1) <= max(4 * k, n // 4)
         for row in np.flatnonzero(done):
             i = open_rows[row]
-            left = np.flatnonzero(alive[row] & (ids != query_ids[i]))
+            left = np.flatnonzero(alive[row] & ~own[i])
             scores = x[left] @ q[i]
             if len(left) > k:
                 best = np.lexsort((ids[left], -scores))[:k]
@@ -78,16 +79,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     id.
 
     Vectors that are null, hold null or non-finite components, or have no id take no part.  Vectors of
-    different lengths are never compared.  ``vec_id`` names a vector: a row with the query's id is the query
-    itself, and of repeated rows one is kept.  An empty table gives an empty result.
+    different lengths are never compared.  Every row is a candidate, but for those with the query's own id.  Rows that
+    share an id need not share a vector: each may be among the k, and queries of one id are answered together, by
+    the k highest products of any of them.  An empty table gives an empty result.
     """
     ship(vectors.sparkSession)
-    rows = keep(integer_vectors(vectors).dropDuplicates(["vec_id"]), "topk-vectors")
+    rows = keep(integer_vectors(vectors).withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     c_blocks, q_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(n_queries / QUERIES))
 
     def dealt(df: DataFrame, own: int, other: int, tag: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(own)).cast("int")
+        mine = F.pmod(F.xxhash64("row", F.lit(5)), F.lit(own)).cast("int")
         all_others = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
         c, q = (all_others, mine) if tag else (mine, all_others)
         return df.select("vec_id", "v", "dim", c.alias("c_block"), q.alias("q_block"), F.lit(tag).alias("asks"))

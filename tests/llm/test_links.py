@@ -95,3 +95,18 @@ def test_top_k(spark):
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(100, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, top_k(df, F.col("vec_id") % 100 == 0).collect())) == [(100, 1, 1, 1024 * 2048), (100, 2, 2, -1024 * 1024)]
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Rows that share an id but not a vector are all candidates and all queries."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(600, 8)).astype(np.float32)
+    ids = np.where(np.arange(600) % 3 == 0, 100, np.arange(600) % 250)  # a third has the id of a query
+    ids[::50] = 7
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>")
+    x = np.floor(1024 * vectors.astype(float)).astype(np.int64)
+    wanted = []
+    for q in {int(i) for i in ids if i % 100 == 0}:
+        best = sorted((-int(x[a] @ x[c]), int(ids[c])) for a in np.flatnonzero(ids == q) for c in np.flatnonzero(ids != q))[:10]
+        wanted += [(q, i, c, -s) for i, (s, c) in enumerate(best, start=1)]
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(wanted)
