@@ -3,8 +3,9 @@
 One model for toxic and one for ordinary documents.  Counts are Kneser-Ney type counts: the number of documents
 that hold an expression, whatever its repetitions.  Both models discount the counts of their class and give
 what they take off to the same shared backoff counts, so an expression that is rare in both classes says nothing
-for or against it; the toxic discount is large enough for chance to be absorbed, and the ordinary one is
-chosen so that both models back off with the same weight.
+for or against it by its counts alone; the toxic discount is large enough for chance to be absorbed, and the ordinary one is
+chosen so that both models back off with the same weight.  How much likelier such an expression is in toxic documents follows
+from the counts of counts of all expressions as rare as it.
 
 The class models are interpolated with a third, shared one of words after the last common word before them.
 In a context in which a word is expected in any case, such as the words of one language among each other,
@@ -92,6 +93,29 @@ def _by_document(train: DataFrame, tally, schema: str, names: list[str]) -> Data
     return parts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def _lifts(counts: DataFrame, discount: float, high: float, n_toxic: float, n_ordinary: float) -> dict[tuple[int, int], float]:
+    """How many times likelier in toxic documents a word is whose counts ``(toxic, ordinary)`` are both discounted away.
+
+    Good-Turing from the counts of counts: a toxic occurrence of a word of ``(t + 1, o)`` and an ordinary one of a word of
+    ``(t, o + 1)`` both meet a word of ``(t, o)`` among the other documents.  The lift never falls as ``t`` grows, and is 1 at least."""
+    most_t, most_o = int(discount), int(high)
+    small = counts.where((F.col("toxic") <= most_t + 1) & (F.col("ordinary") <= most_o + 1))
+    words = {(r["toxic"], r["ordinary"]): r["words"] for r in small.groupBy("toxic", "ordinary").agg(F.count(F.lit(1)).alias("words")).collect()}
+    found = {}
+    for o in range(most_o + 1):
+        blocks: list[tuple[float, float, int]] = []  # log lift, weight and length; neighbours that fall are pooled
+        for t in range(1, most_t + 1):
+            toxic, ordinary = (t + 1) * words.get((t + 1, o), 0), (o + 1) * words.get((t, o + 1), 0)
+            block = (math.log((toxic + 0.5) / n_toxic / ((ordinary + 0.5) / n_ordinary)) if toxic + ordinary else 0.0, toxic + ordinary + 1.0, 1)
+            while blocks and blocks[-1][0] > block[0]:
+                x, w, n = blocks.pop()
+                block = ((x * w + block[0] * block[1]) / (w + block[1]), w + block[1], n + block[2])
+            blocks.append(block)
+        logs = [x for x, _, n in blocks for _ in range(n)]
+        found |= {(t, o): max(math.exp(x), 1.0) for t, x in enumerate(logs, start=1)}
+    return found
+
+
 def fit(train: DataFrame, discount: float = DISCOUNT) -> Models:
     """Models from ``text`` and ``toxic`` (0 or 1) of all rows; callers bound them, and so what is collected."""
     counts = keep(_by_document(train, expressions, "key string, toxic long, ordinary long", ["key", pa.string()]), "toxic-words")
@@ -106,12 +130,15 @@ def fit(train: DataFrame, discount: float = DISCOUNT) -> Models:
         middle = (low + high) / 2
         less = (np.minimum(histogram[:, 0], middle) * histogram[:, 1]).sum() / n_ordinary < back
         low, high = (middle, high) if less else (low, middle)
-    common = (F.col("toxic") > discount) | (F.col("ordinary") > high)
+    lift = _lifts(counts, discount, high, n_toxic, n_ordinary)
+    common = (F.col("toxic") > 0) | (F.col("ordinary") > high)
     words = {}
     for i, row in enumerate(counts.where(common).orderBy("key").toLocalIterator(), start=1):
         pooled = (row["toxic"] + row["ordinary"] + 0.5) / (n_toxic + n_ordinary + 0.5 * (n_words + 1))
         toxic = max(row["toxic"] - discount, 0) / n_toxic + back * pooled
         ordinary = max(row["ordinary"] - high, 0) / n_ordinary + back * pooled
+        # a word beyond the discount has the evidence of one at it at least
+        toxic = max(toxic, ordinary * lift.get((min(row["toxic"], int(discount)), row["ordinary"]), 1.0))
         words[row["key"]] = (i, toxic, ordinary, pooled)
 
     numbers = train.sparkSession.sparkContext.broadcast({w: x[0] for w, x in words.items()})

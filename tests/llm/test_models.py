@@ -205,3 +205,12 @@ def test_findings_of_unknown_label_are_left_out(spark):
     docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
     got = {r.found: r.secret for r in secrets.findings_by_form(docs).collect()}
     assert got == {"04dbebab91ab85687d33eeaa": 1, "anthrererendanhe": 0, "9807915762804490": 0, "MY_SECRET_NAME_OF": 0}
+
+
+def test_rare_toxic_words_have_evidence(spark):
+    """Words of five toxic documents and no ordinary one tell, and words of one document by chance hardly do."""
+    toxic = [(f"plain text slur{i // 5} chance{i}", 1) for i in range(100)]
+    ordinary = [(f"plain text other{i // 5} luck{i}", 0) for i in range(400)]
+    models = toxicity.fit(spark.createDataFrame(toxic + ordinary, "text string, toxic int"))
+    of = lambda w: models.evidence(f"plain {w}")[0] - models.evidence("plain")[0]
+    assert min(of(f"slur{i}") for i in range(20)) > 0.5 > max(abs(of(f"chance{i}")) for i in range(20))
