@@ -3,12 +3,14 @@
 ``P(w | before) = P(class(w) | class(before)) * P(w | class(w))``, smoothed with the plain word distribution.
 
 1. Words of the training documents are counted by a shuffle.  The ``frequent`` words, bounded in number, are broadcast;
-   documents become arrays of their numbers, and the few rare words in them keep their 64-bit keys.
-2. The most frequent words are clustered by exchange: a word moves to the class that raises the likelihood of the
-   class bigrams most.  The table of their pairs has a fixed size.
-3. Every other word of the corpus then makes one exchange step: it goes to the class that best explains the classes of
-   the clustered words beside it.
-4. Rare words meet their counts and classes in a join; all other pairs are settled where the documents are.
+   documents become arrays of their numbers, and the rare words in them keep their 64-bit keys.
+2. The most frequent words are clustered by exchange on the driver, word by word: the table of their pairs has a
+   fixed size.  That is where the sweeps over the whole vocabulary start.
+3. In a sweep every frequent word makes an exchange step at once: how often each class stands before and after it is
+   counted over all training tokens, and it moves to the class that raises the likelihood of the class bigrams most.
+4. Every rare word makes the same step, by the classes of the frequent words beside it.  Rare neighbours, and the
+   edges of documents, are contexts of their own, so each word of the corpus has two contexts an occurrence.
+5. Rare words meet their counts and classes in a join; all other pairs are settled where the documents are.
    Class transitions and emissions are counted over all training tokens.
 """
 
@@ -18,26 +20,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.ngrams import word_keys
-from keyloom.llm.shared import keep, table
-from keyloom.llm.words import lower_ascii
+from keyloom.llm.shared import drop, keep, table
+from keyloom.llm.words import ascii_lower, words_array
 from keyloom.session import ship
 
-FREQUENT = 131_072
-CLUSTERED = 1024
+FREQUENT = 262_144
+CLUSTERED = 1024  # words of the dense start
 CLASSES = 32
-SWEEPS = 6
+SWEEPS = 6  # of the dense start
+VOCABULARY_SWEEPS = 2
 ALPHA = 0.9  # weight of the class model
 RARE, BEGIN, FINISH = -1, -2, -3  # in sequences of word numbers
 START, UNKNOWN = CLASSES, CLASSES + 1  # contexts besides the classes
 END = CLASSES  # target besides the classes
+# contexts on one side of a word: the classes, the document's edge, a word without class
+EDGE, UNCLASSED, SIDE = CLASSES, CLASSES + 1, CLASSES + 2
+CONTEXTS = 2 * SIDE  # first those before, then those after
 
 
-def _keys(text: str | None) -> np.ndarray:
-    return word_keys(lower_ascii(text) if text else None).view(np.int64)
+def word_keys(text: Column) -> Column:
+    """64-bit keys of all words of a text, lower-cased, in order."""
+    return F.transform(words_array(ascii_lower(text)), lambda w: F.xxhash64(w))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -50,29 +57,28 @@ def count_words(texts: DataFrame) -> DataFrame:
             all_keys, where = np.unique(np.concatenate(keys), return_inverse=True)
             return all_keys, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                found = [_keys(t) for t in batch.column(0).slice(start, 1024).to_pylist()]
-                k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-                keys.append(k), counts.append(n)
-                held += len(k)
-                if held > 2_000_000:
-                    k, n = merged()
-                    if len(k) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "c"])
-                        k, n = k[:0], n[:0]
-                    keys, counts, held = [k], [n], len(k)
+        for batch in _slices(batches):
+            k, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            keys.append(k), counts.append(n)
+            held += len(k)
+            if held > 2_000_000:
+                k, n = merged()
+                if len(k) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "c"])
+                    k, n = k[:0], n[:0]
+                keys, counts, held = [k], [n], len(k)
         if keys:
             k, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "c"])
 
-    return texts.select("text").mapInArrow(tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    keyed = texts.select(word_keys(F.col("text")).alias("keys"))
+    return keyed.mapInArrow(tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def frequent_words(counts: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int]:
     """Keys and counts of the words with at least the least count that at most ``at_most`` words reach, most frequent
     first, and that count."""
-    how_many = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("c").desc()).toArrow()
+    how_many = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("c").desc()).limit(at_most).toArrow()
     c, words = how_many.column("c").to_numpy(), how_many.column("words").to_numpy()
     fits = np.cumsum(words) <= at_most
     least = int(c[fits].min()) if fits.any() else (int(c.max()) + 1 if len(c) else 1)
@@ -89,31 +95,35 @@ def encode(docs: DataFrame, keys: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids, rare = [], []
-                for text in part.column("text").to_pylist():
-                    k = _keys(text)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-                        hit = known[at] == k
-                        ids.append(np.where(hit, number[at], RARE).astype(np.int32))
-                        rare.append(k[~hit])
-                    else:
-                        ids.append(np.full(len(k), RARE, np.int32)), rare.append(k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("train"), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "train", "ids", "rare"])
+        for part in _slices(batches):
+            found = part.column("keys")
+            k, offsets = found.flatten().to_numpy(zero_copy_only=False), found.offsets.to_numpy()
+            ids = np.full(len(k), RARE, np.int32)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                hit = known[at] == k
+                ids[hit] = number[at[hit]]
+            missing = ids == RARE
+            upto = np.concatenate([[0], np.cumsum(missing)])[offsets - offsets[0]]
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x)) for o, x in ((offsets - offsets[0], ids), (upto, k[missing]))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("train"), *lists], names=["doc_id", "train", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = docs.mapInArrow(run, f"doc_id {kind}, train boolean, ids array<int>, rare array<long>")
+    keyed = docs.select("doc_id", "train", word_keys(F.col("text")).alias("keys"))
+    coded = keyed.mapInArrow(run, f"doc_id {kind}, train boolean, ids array<int>, rare array<long>")
     return keep(coded.withColumn("row", F.monotonically_increasing_id()), "brown-coded")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that work arrays over all their tokens stay small."""
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that work arrays stay small: each ends with the row that brings its first list column to
+    ``most`` elements."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        lists = next(c for c in batch.columns if pa.types.is_list(c.type))
+        upto, start = np.diff(lists.offsets.to_numpy()).cumsum(), 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most)) + 1
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,53 +210,142 @@ def clustered_pairs(coded: DataFrame, n: int) -> np.ndarray:
     return out.reshape(n, n)
 
 
-def assign(coded: DataFrame, keys: np.ndarray, cls: np.ndarray, pairs: np.ndarray) -> tuple[DataFrame, int]:
-    """``(key, class)`` of all words but the clustered ones, by one exchange step, and the class for words without
-    evidence.
+def _contexts(cls: np.ndarray) -> np.ndarray:
+    """Context of each entry of a sequence, by its number or, from the end, its mark."""
+    return np.append(np.where(cls >= 0, cls, UNCLASSED), [EDGE, EDGE, UNCLASSED]).astype(np.int64)
+
 
-    A word's evidence is the class of the clustered word before it or, for want of one, after it."""
-    n = len(cls)
-    onehot = np.eye(CLASSES)[cls]
-    table = onehot.T @ pairs @ onehot + 0.1
-    joint = np.log(table / table.sum(axis=1, keepdims=True) / table.sum(axis=0, keepdims=True) * table.sum())
-    weights = np.concatenate([joint, joint.T])  # by slot (class before, or class after), by the word's class
-    fallback = int(np.bincount(cls, weights=pairs.sum(axis=1) + 1, minlength=CLASSES).argmax())
-    shared = coded.sparkSession.sparkContext.broadcast((keys, cls.astype(np.int64)))
+def frequent_evidence(coded: DataFrame, cls: np.ndarray) -> DataFrame:
+    """``(word, n)``: how often each of the ``CONTEXTS`` stands beside each frequent word in training documents.
+
+    A task sends one row a word with the contexts that it met, so a word's rows are short and as many as there are tasks."""
+    shared = coded.sparkSession.sparkContext.broadcast(_contexts(cls))
+    size = len(cls)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_keys, classes = shared.value
+        contexts, total = shared.value, np.zeros(size * CONTEXTS, np.int32)
         for batch in _slices(batches):
+            seq, _, _ = _sequences(batch)
+            at = np.flatnonzero(seq >= 0)
+            cell = seq[at].astype(np.int64) * CONTEXTS
+            np.add.at(total, cell + contexts[seq[at - 1]], 1)
+            np.add.at(total, cell + contexts[seq[at + 1]] + SIDE, 1)
+        for start in range(0, size, 16_384):
+            part = total[start * CONTEXTS : (start + 16_384) * CONTEXTS]
+            at = np.flatnonzero(part)
+            words, first, sizes = np.unique(at // CONTEXTS, return_index=True, return_counts=True)
+            if not len(words):
+                continue
+            offsets = np.append(first, len(at)).astype(np.int32)
+            packed = [pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets * x.itemsize), pa.py_buffer(x)]) for x in ((at % CONTEXTS).astype(np.uint8), part[at])]
+            yield pa.RecordBatch.from_arrays([pa.array((words + start).astype(np.int32)), *packed], names=["word", "contexts", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            flat, offsets = parts.flatten(), parts.offsets.to_numpy()
+            contexts, counts = (b"".join(flat.field(x).to_pylist()) for x in ("contexts", "counts"))
+            contexts, counts = np.frombuffer(contexts, np.uint8), np.frombuffer(counts, np.int32)
+            cells = np.diff(np.concatenate([[0], np.cumsum(pa.compute.binary_length(flat.field("contexts")).to_numpy())])[offsets - offsets[0]])
+            row = np.repeat(np.arange(batch.num_rows), cells)
+            n = np.bincount(row * CONTEXTS + contexts, weights=counts, minlength=batch.num_rows * CONTEXTS).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * CONTEXTS), pa.array(n))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), lists], names=["word", "n"])
+
+    rows = coded.where("train").select("ids", "rare").mapInArrow(gather, "word int, contexts binary, counts binary")
+    parts = rows.groupBy("word").agg(F.collect_list(F.struct("contexts", "counts")).alias("parts"))
+    return keep(parts.mapInArrow(merge, "word int, n array<long>"), "brown-evidence")
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTEXTS).astype(float)
+
+
+def class_table(evidence: DataFrame, cls: np.ndarray) -> np.ndarray:
+    """How often each context stands beside a word of each class."""
+    shared = evidence.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES, CONTEXTS))
+        for batch in batches:
+            own = shared.value[batch.column("word").to_numpy()]
+            np.add.at(total, own[own >= 0], _matrix(batch.column("n"))[own >= 0])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+    out = np.zeros(CLASSES * CONTEXTS)
+    for r in evidence.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # classes * contexts at most
+        out[r["at"]] = r["n"]
+    return out.reshape(CLASSES, CONTEXTS)
+
+
+def best_classes(n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each word the class that raises the likelihood of the class bigrams most, by its counts of contexts.
+
+    ``own`` is the class that the word is in as yet (-1: none), from which its counts are taken out.  It stays unless
+    another class is better."""
+    f = lambda x: x * np.log(np.maximum(x, 1.0))  # noqa: E731  counts are whole
+    size, base = table[:, :SIDE].sum(axis=1), f(table)
+    row, context = np.nonzero(n)
+    count = n[row, context]
+    gain = np.zeros((len(n), CLASSES))
+    np.add.at(gain, row, f(table[:, context].T + count[:, None]) - base[:, context].T)
+    tokens = n[:, :SIDE].sum(axis=1)
+    gain -= 2 * (f(size + tokens[:, None]) - f(size))
+    inside = np.flatnonzero(own >= 0)
+    if len(inside):
+        k = own[row]
+        stay = np.where(k >= 0, base[k, context] - f(np.maximum(table[k, context] - count, 0)), 0.0)
+        stay = np.bincount(row, weights=stay, minlength=len(n)) - 2 * (f(size)[own] - f(np.maximum(size[own] - tokens, 0)))
+        gain[inside, own[inside]] = stay[inside] + 1e-9
+    return gain.argmax(axis=1)
+
+
+def sweep(evidence: DataFrame, cls: np.ndarray) -> np.ndarray:
+    """The classes of all frequent words after an exchange step of each."""
+    table = class_table(evidence, cls)
+    shared = evidence.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 512 * CONTEXTS):
+            words = batch.column("word")
+            best = best_classes(_matrix(batch.column("n")), shared.value[words.to_numpy()], table)
+            yield pa.RecordBatch.from_arrays([words, pa.array(best.astype(np.int32))], names=["word", "class"])
+
+    moved = evidence.mapInArrow(run, "word int, class int").toArrow()  # one row a frequent word
+    out = cls.copy()
+    out[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    return out
+
+
+def rare_classes(coded: DataFrame, cls: np.ndarray, table: np.ndarray) -> DataFrame:
+    """``(key, class)`` of all rare words, by one exchange step."""
+    shared = coded.sparkSession.sparkContext.broadcast(_contexts(cls))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = shared.value
+        for batch in _slices(batches, 2_000_000):
             seq, _, rare = _sequences(batch)
-            key = np.zeros(len(seq), np.int64)
-            key[seq >= 0] = own_keys[seq[seq >= 0]]
-            key[seq == RARE] = rare
-            neighbour = np.full(len(seq), -1, np.int64)
-            top = (seq >= 0) & (seq < n)
-            neighbour[top] = classes[seq[top]]
-            before, after = np.concatenate([[-1], neighbour[:-1]]), np.concatenate([neighbour[1:], [-1]])
-            slot = np.where(before >= 0, before, np.where(after >= 0, after + CLASSES, -1))
-            # edges stand between documents, so neighbours are of the same document
-            ask = ((seq >= n) | (seq == RARE)) & (slot >= 0)
-            k, s = key[ask], slot[ask]
-            order = np.lexsort((s, k))
-            k, s = k[order], s[order]
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])) if len(k) else np.empty(0, np.int64)
-            count = np.diff(np.concatenate([first, [len(k)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(s[first].astype(np.int32)), pa.array(count)], names=["key", "slot", "n"])
+            at = np.flatnonzero(seq == RARE)
+            k, c = np.tile(rare, 2), np.concatenate([contexts[seq[at - 1]], contexts[seq[at + 1]] + SIDE])
+            order = np.lexsort((c, k))
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.empty(0, np.int64)
+            count = np.diff(np.append(first, len(k)))
+            yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(c[first].astype(np.int32)), pa.array(count)], names=["key", "context", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = batch.column("slots")
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(slots.offsets.to_numpy()))
-            at, by = slots.flatten().field("slot").to_numpy(), slots.flatten().field("n").to_numpy()
-            evidence = np.zeros((batch.num_rows, 2 * CLASSES))
-            np.add.at(evidence, (rows, at), by)
-            best = (evidence @ weights).argmax(axis=1)
+        for batch in _slices(batches, 20_000):
+            found = batch.column("contexts")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+            n = np.zeros((batch.num_rows, CONTEXTS))
+            n[row, found.flatten().field("context").to_numpy()] = found.flatten().field("n").to_numpy()
+            best = best_classes(n, np.full(batch.num_rows, -1), table)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(best.astype(np.int32))], names=["key", "class"])
 
-    votes = coded.where("train").select("ids", "rare").mapInArrow(gather, "key long, slot int, n long").groupBy("key", "slot").agg(F.sum("n").alias("n"))
-    lists = votes.groupBy("key").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))  # at most two slots a class
-    return lists.mapInArrow(choose, "key long, class int"), fallback
+    votes = coded.where("train AND size(rare) > 0").select("ids", "rare").mapInArrow(gather, "key long, context int, n long")
+    lists = votes.groupBy("key", "context").agg(F.sum("n").alias("n")).groupBy("key").agg(F.collect_list(F.struct("context", "n")).alias("contexts"))
+    return lists.mapInArrow(choose, "key long, class int")
 
 
 def _rare_places(coded: DataFrame, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -291,6 +390,21 @@ def _transitions(coded: DataFrame, cls: np.ndarray) -> DataFrame:
     return coded.where("train").select("ids", "rare").mapInArrow(run, "a int, b int, n long")
 
 
+def cluster(coded: DataFrame, n: int, sweeps: int = VOCABULARY_SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the ``n`` frequent words, and how often each context stands beside a word of each class."""
+    if not n:
+        return np.empty(0, np.int64), np.zeros((CLASSES, CONTEXTS))
+    top = min(CLUSTERED, n)
+    cls = np.full(n, -1, np.int64)
+    cls[:top] = exchange(clustered_pairs(coded, top))
+    for _ in range(sweeps):
+        evidence = frequent_evidence(coded, cls)
+        cls = sweep(evidence, cls)
+        by_context = class_table(evidence, cls)
+        drop(evidence)
+    return cls, by_context
+
+
 def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     """Scores of all whole texts by a model of the documents for which ``train`` holds.
 
@@ -312,17 +426,13 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     n_train = coded.where("train").count()
     n, v = tokens + n_train, words + (n_train > 0)
 
-    top = min(CLUSTERED, len(keys))
-    pairs = clustered_pairs(coded, top) if top else np.zeros((0, 0))
-    head = exchange(pairs)
-    classes, fallback = assign(coded, keys, head, pairs)
-    classes = keep(classes, "brown-classes")
-    is_frequent = counts.where(F.col("c") >= least).select("key")
-    found = classes.join(is_frequent, "key", "left_semi").toArrow()  # at most as many as there are frequent words
-    place = dict(zip(found.column("key").to_pylist(), found.column("class").to_pylist(), strict=True))
-    cls = np.array([*head, *(place.get(k, fallback) for k in keys[top:].tolist())], dtype=np.int64)
-
-    rare_words = counts.where(F.col("c") < least).join(classes, "key", "left").select("key", "c", F.coalesce("class", F.lit(fallback)).alias("class"))
+    cls, by_context = cluster(coded, len(keys))
+    settled = np.zeros((CLASSES + 2, CLASSES + 1))
+    for r in _transitions(coded, cls).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most (classes + 1) squared rows
+        settled[r["a"], r["b"]] = r["n"]
+    # the table the sweeps end with, but for what stands beside words without class
+    by_context[:, :UNCLASSED], by_context[:, SIDE : SIDE + UNCLASSED] = settled[:-1, :CLASSES].T, settled[:CLASSES]
+    rare_words = counts.where(F.col("c") < least).join(rare_classes(coded, cls, by_context), "key")
     rare_words = keep(rare_words, "brown-rare")
     places = keep(_rare_places(coded, cls, np.asarray(c)).join(rare_words, "key", "left").drop("key"), "brown-places")
     order = Window.partitionBy("row").orderBy("at")
@@ -330,13 +440,11 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     neighbour = F.when(F.lag("at").over(order) == F.col("at") - 1, F.lag(own).over(order))
     steps = places.select("row", "train", F.coalesce("before", neighbour).alias("a"), "class", F.coalesce("c", F.lit(0)).alias("c"), own.alias("own"), "after", "after_c")
 
-    both = _transitions(coded, cls)
     from_rare = steps.where("train")
-    both = both.union(from_rare.where("class IS NOT NULL").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    both = both.union(from_rare.where("after IS NOT NULL").groupBy(F.col("own").alias("a"), F.col("after").alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    counted = both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # at most (classes + 2) * (classes + 1) rows
-    t = np.full((CLASSES + 2, CLASSES + 1), 1.0)
-    for r in counted:
+    into = from_rare.where("class IS NOT NULL").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    out = from_rare.where("after IS NOT NULL").groupBy(F.col("own").alias("a"), F.col("after").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    t = settled + 1.0
+    for r in into.union(out).groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # as few
         t[r["a"], r["b"]] += r["n"]
     t[UNKNOWN] = t[: CLASSES + 1].sum(axis=0)
     t /= t.sum(axis=1, keepdims=True)
