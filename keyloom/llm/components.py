@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import drop, keep
+from keyloom.llm.shared import drop, keep, meet
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    return meet(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    moved = meet(down, least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -30,14 +30,14 @@ def _settled(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(node, component)`` for every node with an edge: the smallest node that edges ``(u, v)`` reach from it.
 
-    Each round is written to the shared folder, which keeps lineage short; what a hub gathers is
-    only ever a minimum.  An empty table gives an empty result.
+    Each round is written to the shared folder, which keeps lineage short.  A hub's minimum is combined before the shuffle and
+    broadcast to its edges, which stay where they are.  An empty table gives an empty result.
     """
     tidy = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     now = keep(tidy.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = _settled(now)
     while state[0]:
-        after = keep(_small_star(_large_star(now).distinct()).where("u <> v").distinct(), label)
+        after = keep(_small_star(_large_star(now, state[0]).distinct(), state[0]).where("u <> v").distinct(), label)
         drop(now)
         now, before, state = after, state, _settled(after)
         if state == before:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.shared import keep, table
+from keyloom.llm.shared import keep, meet, table, without
 from keyloom.llm.words import find_words, lower_ascii
 from keyloom.session import ship
 
@@ -105,8 +105,8 @@ def minima(s: np.ndarray, n: int) -> np.ndarray:
 def _sign(docs: DataFrame, n_bands: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 sizes, sets, bands, signatures = [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingles(text)
@@ -180,20 +180,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = keep(_sign(docs, bands_for(percent)), "minhash-rows")
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = keep(
-        named.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
+        named.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("_n")),
         "minhash-classes",
     )
+    n_keys = classes.count() * bands_for(percent)
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "least")
-    candidates = keys.join(buckets, "key").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    candidates = meet(keys, buckets, "key", n_keys).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     groups = components(candidates, "minhash-groups").withColumnRenamed("node", "rep").withColumnRenamed("component", "group")
     found = keep(_confirmed(docs, classes, groups, percent), "minhash-links")
     linked = components(found, "minhash-components").withColumnRenamed("node", "rep")
-    final = classes.select("same", "rep").join(linked, "rep", "left").select("same", F.coalesce("component", "rep").alias("_component"))
-    # rows without id or words meet nothing in the join
-    key = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("same"))
-    out = rows.select("doc_id", "n_shingles", key.alias("same")).join(final, "same", "left")
-    component = F.coalesce("_component", "doc_id")
+    final = classes.select("same", "rep", "_n").join(linked, "rep", "left").select("same", F.coalesce("component", "rep").alias("_component"), "_n")
+    met = meet(named.select("doc_id", "n_shingles", "same"), final, "same", rows.count()).select("doc_id", "n_shingles", "_component")
+    alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_component"))
+    out, component = met.union(alone), F.col("_component")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -206,7 +206,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent:
     bundles = max(1, math.ceil(n_docs / 256), math.ceil((weight or 0) / CHUNK_SHINGLES))
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
     placed = (
-        members.join(sizes.select("group", chunks.alias("chunks")), "group")
+        meet(members, sizes.select("group", chunks.alias("chunks"), F.col("docs").alias("_n")), "group", n_docs)
         .withColumn("bundle", F.when(F.col("chunks") == 1, -1 - F.pmod(F.xxhash64("group"), F.lit(bundles))).otherwise(F.col("group")))
         .withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -238,11 +238,29 @@ def _confirmed(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose ids ``near_duplicates`` keeps, with their columns."""
-    judged = near_duplicates(docs, percent).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept"))
-    gone = judged.where("not _kept").select("_gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` whose ids ``near_duplicates`` keeps, with their columns, whatever their names.
+
+    Rows of null id, without words, or of null text stay.  Of rows that repeat an id all stay if any of their texts stays.
+    An empty table gives an empty result."""
+    judged = near_duplicates(docs, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return without(docs, judged.where("not kept"))
 
 
 def op10_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+#: All pairs that share a shingle, in plain SQL.
+OP10_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS l FROM w
+), n AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS n FROM l), s AS (SELECT doc_id, unnest(l) AS shingle FROM l),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, x.v FROM r JOIN both_ways x ON x.u = r.reached)
+SELECT doc_id, any_value(n.n) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
+"""

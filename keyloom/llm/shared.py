@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,34 @@ def spread(rows: DataFrame, facts: DataFrame, key: str, n_keys: int, salt: Colum
     facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_row_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     return rows.join(facts, same & (F.col("_row_salt") == F.col("_salt")), "left").drop("_key", "_salt", "_row_salt")
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "_n") -> DataFrame:
+    """Inner join of ``rows`` with one row of facts a key, whose ``count`` says how many of the ``total`` rows have the key.
+
+    Keys with many rows are few: their facts are broadcast, at most ``MAX_BROADCAST_KEYS`` of them, and their rows stay
+    in place.  The others meet their facts by a shuffle."""
+    many = F.col(count) > max(64, total // MAX_BROADCAST_KEYS)
+    hot = F.broadcast(facts.where(many))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~many), key)
+    return rows.join(hot, key).unionByName(rest).drop(count)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not among those of ``gone``, with their columns; null keys are equal."""
+    name = "_gone"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return docs.join(gone.select(F.col(key).alias(name)), docs[key].eqNullSafe(F.col(name)), "left_anti")
+
+
+def list_slices(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that work arrays stay small: each ends with the row that brings its first list column to
+    ``most`` elements."""
+    for batch in batches:
+        lists = next(c for c in batch.columns if pa.types.is_list(c.type))
+        upto, start = np.diff(lists.offsets.to_numpy()).cumsum(), 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most)) + 1
+            yield batch.slice(start, stop - start)
+            start = stop
