@@ -21,14 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import drop, keep, table
+from keyloom.llm.shared import drop, keep, list_slices, table
 from keyloom.llm.words import ascii_lower, words_array
 from keyloom.session import ship
 
-FREQUENT = 262_144
+FREQUENT = 524_288
 CLUSTERED = 1024  # words of the dense start
 CLASSES = 32
 SWEEPS = 6  # of the dense start
@@ -57,7 +57,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             all_keys, where = np.unique(np.concatenate(keys), return_inverse=True)
             return all_keys, np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
 
-        for batch in _slices(batches):
+        for batch in list_slices(batches):
             k, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
             keys.append(k), counts.append(n)
             held += len(k)
@@ -75,9 +75,8 @@ def count_words(texts: DataFrame) -> DataFrame:
     return keyed.mapInArrow(tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys and counts of the words with at least the least count that at most ``at_most`` words reach, most frequent
-    first, and that count."""
+def frequent_words(counts: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the words with at least the least count that at most ``at_most`` words reach, most frequent first."""
     how_many = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("c").desc()).limit(at_most).toArrow()
     c, words = how_many.column("c").to_numpy(), how_many.column("words").to_numpy()
     fits = np.cumsum(words) <= at_most
@@ -85,7 +84,7 @@ def frequent_words(counts: DataFrame, at_most: int = FREQUENT) -> tuple[np.ndarr
     rows = counts.where(F.col("c") >= least).toArrow()
     keys, n = rows.column("key").to_numpy(), rows.column("c").to_numpy()
     order = np.lexsort((keys, -n))
-    return keys[order], n[order], least
+    return keys[order], n[order]
 
 
 def encode(docs: DataFrame, keys: np.ndarray) -> DataFrame:
@@ -95,7 +94,7 @@ def encode(docs: DataFrame, keys: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = shared.value
-        for part in _slices(batches):
+        for part in list_slices(batches):
             found = part.column("keys")
             k, offsets = found.flatten().to_numpy(zero_copy_only=False), found.offsets.to_numpy()
             ids = np.full(len(k), RARE, np.int32)
@@ -114,18 +113,6 @@ def encode(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     return keep(coded.withColumn("row", F.monotonically_increasing_id()), "brown-coded")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that work arrays stay small: each ends with the row that brings its first list column to
-    ``most`` elements."""
-    for batch in batches:
-        lists = next(c for c in batch.columns if pa.types.is_list(c.type))
-        upto, start = np.diff(lists.offsets.to_numpy()).cumsum(), 0
-        while start < batch.num_rows:
-            stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most)) + 1
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All documents of a batch in one row of numbers with their edges, the document of each place, and the rare keys."""
     ids, rare = batch.column("ids"), batch.column("rare")
@@ -196,7 +183,7 @@ def clustered_pairs(coded: DataFrame, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n * n, np.int64)
-        for batch in _slices(batches):
+        for batch in list_slices(batches):
             seq, _, _ = _sequences(batch)
             a, b = seq[:-1], seq[1:]
             ok = (a >= 0) & (a < n) & (b >= 0) & (b < n)
@@ -224,7 +211,7 @@ def frequent_evidence(coded: DataFrame, cls: np.ndarray) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, total = shared.value, np.zeros(size * CONTEXTS, np.int32)
-        for batch in _slices(batches):
+        for batch in list_slices(batches):
             seq, _, _ = _sequences(batch)
             at = np.flatnonzero(seq >= 0)
             cell = seq[at].astype(np.int64) * CONTEXTS
@@ -307,7 +294,7 @@ def sweep(evidence: DataFrame, cls: np.ndarray) -> np.ndarray:
     shared = evidence.sparkSession.sparkContext.broadcast(cls)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 512 * CONTEXTS):
+        for batch in list_slices(batches, 512 * CONTEXTS):
             words = batch.column("word")
             best = best_classes(_matrix(batch.column("n")), shared.value[words.to_numpy()], table)
             yield pa.RecordBatch.from_arrays([words, pa.array(best.astype(np.int32))], names=["word", "class"])
@@ -319,12 +306,12 @@ def sweep(evidence: DataFrame, cls: np.ndarray) -> np.ndarray:
 
 
 def rare_classes(coded: DataFrame, cls: np.ndarray, table: np.ndarray) -> DataFrame:
-    """``(key, class)`` of all rare words, by one exchange step."""
+    """``(key, class, c)`` of all rare words, by one exchange step; ``c`` is how often the word occurs."""
     shared = coded.sparkSession.sparkContext.broadcast(_contexts(cls))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = shared.value
-        for batch in _slices(batches, 2_000_000):
+        for batch in list_slices(batches, 2_000_000):
             seq, _, rare = _sequences(batch)
             at = np.flatnonzero(seq == RARE)
             k, c = np.tile(rare, 2), np.concatenate([contexts[seq[at - 1]], contexts[seq[at + 1]] + SIDE])
@@ -335,43 +322,59 @@ def rare_classes(coded: DataFrame, cls: np.ndarray, table: np.ndarray) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(c[first].astype(np.int32)), pa.array(count)], names=["key", "context", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 20_000):
+        for batch in list_slices(batches, 20_000):
             found = batch.column("contexts")
             row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
             n = np.zeros((batch.num_rows, CONTEXTS))
             n[row, found.flatten().field("context").to_numpy()] = found.flatten().field("n").to_numpy()
             best = best_classes(n, np.full(batch.num_rows, -1), table)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(best.astype(np.int32))], names=["key", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(best.astype(np.int32)), pa.array(n[:, :SIDE].sum(axis=1).astype(np.int64))], names=["key", "class", "c"])
 
     votes = coded.where("train AND size(rare) > 0").select("ids", "rare").mapInArrow(gather, "key long, context int, n long")
-    lists = votes.groupBy("key", "context").agg(F.sum("n").alias("n")).groupBy("key").agg(F.collect_list(F.struct("context", "n")).alias("contexts"))
-    return lists.mapInArrow(choose, "key long, class int")
+    # rare words have few occurrences, already combined by task, so one shuffle by word serves both groupings
+    sums = votes.repartition("key").groupBy("key", "context").agg(F.sum("n").alias("n"))
+    lists = sums.groupBy("key").agg(F.collect_list(F.struct("context", "n")).alias("contexts"))
+    return lists.mapInArrow(choose, "key long, class int, c long")
 
 
 def _rare_places(coded: DataFrame, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """One row for each rare word in a text, with the class of the word before it and class and count of the word
-    after it (null where those are rare too)."""
+    """One row for each rare word in a text: class of the word before it or, if that is rare too, its key, and class
+    and count of the word after it (null if rare)."""
     shared = coded.sparkSession.sparkContext.broadcast((np.append(cls, [END, START, -1]).astype(np.int32), np.append(counts, [0, 0, 0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, c = shared.value
-        for batch in _slices(batches):
+        for batch in list_slices(batches):
             seq, doc, rare = _sequences(batch)
             at = np.flatnonzero(seq == RARE)
             before, after = classes[seq[at - 1]], classes[seq[at + 1]]
             row, train = batch.column("row").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row[doc[at]]), pa.array(train[doc[at]]), pa.array(at.astype(np.int64)), pa.array(rare),
+                    pa.array(row[doc[at]]), pa.array(train[doc[at]]), pa.array(rare), pa.array(np.roll(rare, 1), mask=before >= 0),
                     pa.array(before, mask=before < 0), pa.array(after, mask=after < 0), pa.array(c[seq[at + 1]]),
                 ],
-                names=["row", "train", "at", "key", "before", "after", "after_c"],
+                names=["row", "train", "key", "key_before", "before", "after", "after_c"],
             )
 
-    schema = "row long, train boolean, at long, key long, before int, after int, after_c long"
+    schema = "row long, train boolean, key long, key_before long, before int, after int, after_c long"
     return coded.where(F.size("rare") > 0).select("row", "train", "ids", "rare").mapInArrow(run, schema)
 
 
+def _rare_steps(places: DataFrame, rare_words: DataFrame) -> DataFrame:
+    """Class ``a`` before each rare word, its own class (null if never seen in training) and count, and what is after it.
+
+    A word that is frequent only in texts that nothing is learnt from is a hot key without a match; adaptive execution splits it."""
+    own = F.coalesce("class", F.lit(UNKNOWN))
+    known = places.join(rare_words, "key", "left").select("row", "train", "key_before", "before", "class", F.coalesce("c", F.lit(0)).alias("c"), own.alias("own"), "after", "after_c")
+    known = keep(known, "brown-places")
+    before = rare_words.select(F.col("key").alias("key_before"), F.col("class").alias("class_before"))
+    # runs of rare words are few: only they meet the classes a second time
+    runs = known.where("key_before IS NOT NULL").join(before, "key_before", "left").withColumn("before", F.coalesce("class_before", F.lit(UNKNOWN)))
+    columns = ["row", "train", F.col("before").alias("a"), "class", "c", "own", "after", "after_c"]
+    return known.where("key_before IS NULL").select(*columns).union(runs.select(*columns))
+
+
 def _transitions(coded: DataFrame, cls: np.ndarray) -> DataFrame:
     """Class pairs in training documents whose words are both frequent or edges: ``(a, b, n)``."""
     shared = coded.sparkSession.sparkContext.broadcast(np.append(cls, [END, START, -1]).astype(np.int64))
@@ -379,7 +382,7 @@ def _transitions(coded: DataFrame, cls: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = shared.value, np.zeros((CLASSES + 2) * width, np.int64)
-        for batch in _slices(batches):
+        for batch in list_slices(batches):
             seq, _, _ = _sequences(batch)
             a, b = classes[seq[:-1]], classes[seq[1:]]
             ok = (a >= 0) & (b >= 0) & (seq[1:] != BEGIN) & (seq[:-1] != FINISH)
@@ -405,7 +408,7 @@ def cluster(coded: DataFrame, n: int, sweeps: int = VOCABULARY_SWEEPS) -> tuple[
     return cls, by_context
 
 
-def score_documents(docs: DataFrame, train: Column) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, frequent: int = FREQUENT) -> DataFrame:
     """Scores of all whole texts by a model of the documents for which ``train`` holds.
 
     Input: ``doc_id``, ``text``; other columns are ignored.  Output: ``doc_id``, ``train``, ``n_tokens`` (words and one end), ``n_known``
@@ -421,7 +424,7 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     counts = keep(count_words(rows.where("train")), "brown-counts")
     words, tokens = (int(x or 0) for x in counts.agg(F.count(F.lit(1)), F.sum("c")).first())
-    keys, c, least = frequent_words(counts)
+    keys, c = frequent_words(counts, frequent)
     coded = encode(rows, keys)
     n_train = coded.where("train").count()
     n, v = tokens + n_train, words + (n_train > 0)
@@ -432,13 +435,8 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
         settled[r["a"], r["b"]] = r["n"]
     # the table the sweeps end with, but for what stands beside words without class
     by_context[:, :UNCLASSED], by_context[:, SIDE : SIDE + UNCLASSED] = settled[:-1, :CLASSES].T, settled[:CLASSES]
-    rare_words = counts.where(F.col("c") < least).join(rare_classes(coded, cls, by_context), "key")
-    rare_words = keep(rare_words, "brown-rare")
-    places = keep(_rare_places(coded, cls, np.asarray(c)).join(rare_words, "key", "left").drop("key"), "brown-places")
-    order = Window.partitionBy("row").orderBy("at")
-    own = F.coalesce("class", F.lit(UNKNOWN))
-    neighbour = F.when(F.lag("at").over(order) == F.col("at") - 1, F.lag(own).over(order))
-    steps = places.select("row", "train", F.coalesce("before", neighbour).alias("a"), "class", F.coalesce("c", F.lit(0)).alias("c"), own.alias("own"), "after", "after_c")
+    rare_words = keep(rare_classes(coded, cls, by_context), "brown-rare")
+    steps = _rare_steps(_rare_places(coded, cls, np.asarray(c)), rare_words)
 
     from_rare = steps.where("train")
     into = from_rare.where("class IS NOT NULL").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -466,7 +464,7 @@ def _scores(coded, steps, cls, c, t, size, unknown, n, v, n_train) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, e, b = shared.value
-        for batch in _slices(batches):
+        for batch in list_slices(batches):
             seq, doc, _ = _sequences(batch)
             docs = batch.num_rows
             before, now = seq[:-1], seq[1:]
