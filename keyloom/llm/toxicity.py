@@ -22,18 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import keep, table
-from keyloom.llm.words import find_words, lower_ascii
+from keyloom.llm.shared import keep, list_slices, table
+from keyloom.llm.words import ascii_lower, find_words, lower_ascii, words_array
 from keyloom.session import ship
 
 TRAIN_DOCS = 24_000  # about so many labelled documents are used, for the models and their calibration
 DISCOUNT = 8.0  # of the toxic class
 PRIOR_WORDS = 25.0  # added to the length, so that one word does not decide
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_"
-MEMO = 1_000_000
 
 
 def expressions(text: str | None) -> list[str]:
@@ -41,38 +41,61 @@ def expressions(text: str | None) -> list[str]:
     return [w.strip(EDGES) or w for w in find_words(lower_ascii(text))] if text else []
 
 
+def expression_keys(text: Column) -> Column:
+    """64-bit keys of the expressions of a text, in order, by Spark."""
+    stripped = lambda w: F.coalesce(F.nullif(F.btrim(w, F.lit(EDGES)), F.lit("")), w)
+    return F.transform(words_array(ascii_lower(text)), lambda w: F.xxhash64(stripped(w)))
+
+
+def _key(word: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
+
+
 class Models:
     """Log ratios of toxic to ordinary probability of common words, by the common word before."""
 
-    def __init__(self, words: dict[str, tuple[int, float, float, float]], after: dict[int, float], pairs: dict[int, float]):
-        self.words = words  # its number, and its toxic, ordinary and shared probability
-        self.after = after  # by context: the weight of backing off to the shared probability
-        self.pairs = pairs  # by context and word: the discounted share
-        self.ratios: dict[int, float] = {}
-
-    def ratio(self, key: int, before: int, word: tuple[int, float, float, float]) -> float:
-        _, toxic, ordinary, common = word
-        shared = self.pairs.get(key, 0.0) + self.after.get(before, 1.0) * common
-        if len(self.ratios) > MEMO:
-            self.ratios.clear()
-        self.ratios[key] = found = math.log((shared + toxic) / (shared + ordinary))
-        return found
-
-    def evidence(self, text: str | None) -> tuple[float, int]:
-        """Difference of the log-likelihoods, in which an expression counts once, and the number of different words."""
-        found = expressions(text)
-        words, ratios, total, before = self.words, self.ratios, 0.0, 0
-        met: set[int] = set()
-        for w in found:
-            word = words.get(w)
-            if word is not None:
-                key = before << 32 | word[0]
-                if key not in met:
-                    met.add(key)
-                    ratio = ratios.get(key)
-                    total += self.ratio(key, before, word) if ratio is None else ratio
-                before = word[0]
-        return total, len(set(found))
+    def __init__(self, words: list[tuple[str, float, float, float]], after: dict[int, float], pairs: dict[int, float]):
+        """``words``: toxic, ordinary and shared probability of each, numbered from 1; ``after``: by a context's number, the
+        weight of backing off to the shared probability; ``pairs``: by both numbers in one, the discounted share."""
+        keys = np.array([_key(w) for w, *_ in words], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.number = keys[order], order + 1
+        self.toxic, self.ordinary, self.common = np.array([[0.0] * 3] + [list(x[1:]) for x in words]).T
+        self.after = np.ones(len(words) + 1)
+        self.after[list(after)] = list(after.values())
+        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.shares = np.array([pairs[k] for k in self.pairs.tolist()])
+
+    @staticmethod
+    def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values that are known, and which are."""
+        if not len(known):
+            return np.empty(0, np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hit = known[at] == asked
+        return at[hit], hit
+
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Log ratios of pairs of context and word."""
+        context, word = keys >> 32, keys & 0xFFFFFFFF
+        shared = self.after[context] * self.common[word]
+        at, hit = self._find(self.pairs, keys)
+        shared[hit] += self.shares[at]
+        return np.log((shared + self.toxic[word]) / (shared + self.ordinary[word]))
+
+    def evidence(self, keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """By document: the difference of the log-likelihoods, in which an expression counts once after each context, and
+        the number of different expressions."""
+        different = np.unique(((keys ^ (keys >> 31)) & ((1 << 40) - 1)) | doc << 40) >> 40
+        at, hit = self._find(self.keys, keys)
+        word, doc = self.number[at], doc[hit]
+        before = np.where(np.diff(doc, prepend=-1) == 0, np.roll(word, 1), 0)
+        order = np.lexsort((before << 32 | word, doc))
+        pair, doc = (before << 32 | word)[order], doc[order]
+        first = np.ones(len(pair), bool)
+        first[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
+        pair, doc = pair[first], doc[first]
+        return np.bincount(doc, weights=self.ratios(pair), minlength=docs), np.bincount(different, minlength=docs)
 
 
 def _by_document(train: DataFrame, tally, schema: str, names: list[str]) -> DataFrame:
@@ -122,7 +145,7 @@ def fit(train: DataFrame, discount: float = DISCOUNT) -> Models:
     left_t = F.least("toxic", F.lit(float(discount)))
     n_toxic, n_ordinary, n_words, taken_t = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("ordinary"), F.count(F.lit(1)), F.sum(left_t)).first())
     if not n_toxic or not n_ordinary:
-        return Models({}, {}, {})
+        return Models([], {}, {})
     # how many words are in how many ordinary documents; no more rows than the sample has documents
     histogram = counts.groupBy("ordinary").agg(F.count(F.lit(1)).alias("words")).toPandas().to_numpy(dtype=float)
     back, low, high = taken_t / n_toxic, 0.0, float(histogram[:, 0].max())
@@ -132,16 +155,16 @@ def fit(train: DataFrame, discount: float = DISCOUNT) -> Models:
         low, high = (middle, high) if less else (low, middle)
     lift = _lifts(counts, discount, high, n_toxic, n_ordinary)
     common = (F.col("toxic") > 0) | (F.col("ordinary") > high)
-    words = {}
-    for i, row in enumerate(counts.where(common).orderBy("key").toLocalIterator(), start=1):
+    words = []
+    for row in counts.where(common).orderBy("key").toLocalIterator():
         pooled = (row["toxic"] + row["ordinary"] + 0.5) / (n_toxic + n_ordinary + 0.5 * (n_words + 1))
         toxic = max(row["toxic"] - discount, 0) / n_toxic + back * pooled
         ordinary = max(row["ordinary"] - high, 0) / n_ordinary + back * pooled
         # a word beyond the discount has the evidence of one at it at least
         toxic = max(toxic, ordinary * lift.get((min(row["toxic"], int(discount)), row["ordinary"]), 1.0))
-        words[row["key"]] = (i, toxic, ordinary, pooled)
+        words.append((row["key"], toxic, ordinary, pooled))
 
-    numbers = train.sparkSession.sparkContext.broadcast({w: x[0] for w, x in words.items()})
+    numbers = train.sparkSession.sparkContext.broadcast({w: i for i, (w, *_) in enumerate(words, start=1)})
 
     def pairs_of(text: str | None) -> list[int]:
         found = [i for w in expressions(text) if (i := numbers.value.get(w))]
@@ -159,15 +182,15 @@ def _evidence(docs: DataFrame, models: Models, also: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [shared.value.evidence(t) for t in part.column("text").to_pylist()]
-                x = pa.array([total / (n + PRIOR_WORDS) for total, n in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in also], x], names=[*also, "evidence"])
+        for part in list_slices(batches):
+            found = part.column("keys")
+            offsets = found.offsets.to_numpy()
+            doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            total, n = shared.value.evidence(found.flatten().to_numpy(zero_copy_only=False), doc, part.num_rows)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in also], pa.array(total / (n + PRIOR_WORDS))], names=[*also, "evidence"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)
-    return docs.select(*also, "text").mapInArrow(score, f"{kinds}, evidence double")
+    return docs.select(*also, expression_keys(F.col("text")).alias("keys")).mapInArrow(score, f"{kinds}, evidence double")
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
