@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import keep, spread, table
+from keyloom.llm.shared import MAX_BROADCAST_KEYS, keep, spread, table
 from keyloom.llm.words import count_words
 
 BITS = 12  # hash bits settled by one histogram
@@ -55,13 +55,30 @@ def _bucket(level: int) -> Column:
     return F.shiftright(F.col("hash"), shift).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def _hash(seed: int) -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+def _hashed(docs: DataFrame, seed: int, *columns: Column) -> DataFrame:
+    """``columns`` with a ``hash`` of 63 bits of each row's id, source and text.
+
+    Equal rows are numbered, so that they do not enter and leave as one: by the part of the input they stand in, and within it.
+    Which of them gets which number is immaterial."""
+    base = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "source", "text", F.lit(seed))
+    rows = docs.select(*columns, base.alias("_base"), F.spark_partition_id().alias("_part"))
+    repeated = keep(docs.select(base.alias("_base")).groupBy("_base").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_base"), "mix-repeated")
+    if repeated.count() <= MAX_BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    some = rows.join(repeated, "_base", "left_semi")
+    before = Window.partitionBy("_base").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = some.groupBy("_base", "_part").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_base", "_part").orderBy(F.lit(1)))
+    numbered = some.withColumn("_i", within).join(parts.drop("_rows"), ["_base", "_part"]).withColumn("_i", F.col("_i") + F.col("_before"))
+    own = lambda i: F.xxhash64("_base", i.cast("long")).bitwiseAND(F.lit((1 << 63) - 1)).alias("hash")
+    single = rows.join(repeated, "_base", "left_anti")
+    kept = [c for c in rows.columns if c not in ("_base", "_part")]
+    return single.select(*kept, own(F.lit(1))).union(numbered.select(*kept, own(F.col("_i"))))
 
 
 def mix_thresholds(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, DataFrame, int]:
     """The sized rows (doc_id, source, size, hash), one row of thresholds a source, and the number of sources."""
-    slim = keep(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sizes")
+    slim = keep(_hashed(docs, seed, F.col("doc_id"), F.col("source"), count_words(F.col("text")).alias("size")), "mix-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = keep(source_targets(sizes, weights, share, cap), "mix-targets")
     n_sources = targets.count()
@@ -108,8 +125,9 @@ def mix_thresholds(docs: DataFrame, seed: int = 17, weights: Sequence[float] = (
 
 
 def _copies(rows: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
-    below = F.shiftright(F.col("hash"), 63 - BITS * LEVELS) < F.col("prefix")
-    return spread(rows, state.drop("weight", "rest", "below"), "source", n_sources, F.col("hash")).withColumn("copies", (F.col("whole") + below.cast("int")).cast("int"))
+    # a source whose budget is whole copies has nothing left for any document, not even for an empty one
+    below = (F.shiftright(F.col("hash"), 63 - BITS * LEVELS) < F.col("prefix")) & (F.col("rest") > 0)
+    return spread(rows, state.drop("weight", "below"), "source", n_sources, F.col("hash")).withColumn("copies", (F.col("whole") + below.cast("int")).cast("int"))
 
 
 def mix_to_targets(docs: DataFrame, **options) -> DataFrame:
@@ -120,7 +138,7 @@ def mix_to_targets(docs: DataFrame, **options) -> DataFrame:
     taken whole or not at all.  Options: see ``mix_thresholds``.
 
     Null texts have size 0; a null source is a source of its own; null ids are hashed like any value.
-    Rows with the same id share their hash and are taken together.  Documents of size 0 are taken as
+    Rows that repeat an id, or all columns, are taken or left one by one.  Documents of size 0 are taken as
     their hash says.  An empty table gives an empty result.
     """
     rows = _copies(*mix_thresholds(docs, **options))
@@ -128,11 +146,12 @@ def mix_to_targets(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mix_to_targets`` takes it, with the columns of ``docs``."""
+    """The mix itself: every row of ``docs`` as often as ``mix_to_targets`` takes it, with the columns of ``docs``, whatever
+    their names.  Nulls, repeated rows and empty tables are treated as there."""
     _, state, n_sources = mix_thresholds(docs, seed, **options)
-    rows = docs.select("source", _hash(seed).alias("hash"), F.struct(*docs.columns).alias("_row"))
+    rows = _hashed(docs, seed, F.col("source"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     taken = _copies(rows, state, n_sources).where("copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op1_mix_sources(spark, sf_dir):
