@@ -1,13 +1,13 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
-Each component of the vectors is a list sorted by value.  For a query, the lists are read from the end that
-its sign favours, all to the same depth.  A vector that a list has shown contributes exactly; one it has not
-shown contributes at most what the list shows next (upper bound) and at least what the list's far end holds
-(lower bound).  Reading stops once no outsider's upper bound reaches the k-th best lower bound; the scores of
-what is left are then resolved in whole integers.
-
-Candidates and queries are dealt into blocks by row, whatever their ids; a task reads the lists of one candidate block for one
-query block, for all queries at once, and the k best of the blocks are merged.
+Each component of the vectors is a list sorted by value.  For a query, every list is read from the end that
+the query's sign favours, all to the same depth, and what is read adds to its vector's known score.  A component not read yet
+contributes at most what its list shows next (upper bound) and at least what the list's far end holds (lower
+bound).  Reading stops once no outsider, a vector that no list has shown, can reach the k-th best lower bound; the
+scores of the vectors shown that still can are then resolved in whole integers.
+
+Candidates and queries are dealt into blocks by row, whatever their ids; a task sorts the lists of one candidate block once and reads
+them for each query of one query block, and the k best of the blocks are merged.
 """
 
 from __future__ import annotations
@@ -34,41 +34,48 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where(usable & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), F.size("embedding").alias("dim"))
 
 
-def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of at most k vectors of one block (more where scores tie)."""
-    n, dim = x.shape
-    largest = max(int(np.abs(x).max(initial=0)), 1) * max(int(np.abs(q).max(initial=0)), 1) * max(dim, 1)
-    slack = 0.0 if largest < 2**52 else largest * 1e-12  # bounds are doubles; scores never are
-    lists = np.sort(x, axis=0).astype(float)  # component by component, ascending
-    low_end, high_end = (lists[0], lists[-1]) if n else (np.zeros(dim), np.zeros(dim))
-    xf, up, down = x.astype(float), np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
-    own = query_ids[:, None] == ids  # never candidates
-    open_rows = np.arange(len(q))  # queries still reading
-    depth = max(4 * k, n // 8)
-    while len(open_rows):
-        depth = min(depth, n)
+def read_lists(order: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """The vectors that may be among the k best for a query, and the depth to which the lists were read.
+
+    ``lists`` are the sorted components, ascending, and ``order`` says whose they are; ``own`` marks vectors that are no candidates."""
+    n = len(order)
+    used = np.flatnonzero(q)
+    w = q[used].astype(float)
+    up = w > 0
+    far = np.where(up, lists[0, used], lists[-1, used]) * w  # what the far ends contribute
+    known, seen = np.zeros(n), np.zeros((n, len(used)), dtype=bool)
+    columns, depth, step = np.arange(len(used)), 0, max(2 * k, 16)
+    while True:
+        stop = min(n, depth + step)
+        places = np.where(up, n - 1 - np.arange(depth, stop)[:, None], np.arange(depth, stop)[:, None])
+        shown = order[places, used]
+        np.add.at(known, shown.ravel(), (lists[places, used] * w).ravel())
+        seen[shown, columns] = True
+        depth, step = stop, 2 * step
         if depth == n:
-            alive = np.ones((len(open_rows), n), dtype=bool)
-            done = np.ones(len(open_rows), dtype=bool)
-        else:
-            top, bottom = lists[n - depth], lists[depth - 1]  # what the lists show last, read from above and from below
-            u, d = up[open_rows], down[open_rows]
-            upper = u @ np.maximum(xf, top).T + d @ np.minimum(xf, bottom).T
-            lower = u @ np.where(xf >= top, xf, low_end).T + d @ np.where(xf <= bottom, xf, high_end).T
-            lower[own[open_rows]] = -np.inf
-            bar = np.partition(lower, n - min(k, n), axis=1)[:, n - min(k, n)]
-            alive = (upper >= (bar - slack)[:, None]) & ~own[open_rows]
-            done = alive.sum(axis=1) <= max(4 * k, n // 4)
-        for row in np.flatnonzero(done):
-            i = open_rows[row]
-            left = np.flatnonzero(alive[row] & ~own[i])
-            scores = x[left] @ q[i]
-            if len(left) > k:
-                best = np.lexsort((ids[left], -scores))[:k]
-                left, scores = left[best], scores[best]
-            yield int(query_ids[i]), ids[left], scores
-        open_rows = open_rows[~done]
-        depth *= 2
+            return np.flatnonzero(~own), depth
+        edge = lists[np.where(up, n - 1 - depth, depth), used] * w  # what the lists show next
+        missing = (~seen).astype(float)
+        upper, lower = known + missing @ edge, known + missing @ far
+        lower[own] = -np.inf
+        bar = np.partition(lower, n - min(k, n))[n - min(k, n)]
+        slack = 1e-9 * (np.abs(w) @ np.abs(lists[[0, -1]][:, used]).max(axis=0) + 1)  # bounds are doubles; scores never are
+        outside = ~seen.any(axis=1) & ~own
+        if not outside.any() or edge.sum() < bar - slack:
+            return np.flatnonzero((upper >= bar - slack) & ~outside & ~own), depth
+
+
+def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the ids and scores of at most k vectors of one block."""
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)
+    for query_id, query in zip(query_ids.tolist(), q, strict=True):
+        left, _ = read_lists(order, lists, query, ids == query_id, k)
+        scores = x[left] @ query
+        if len(left) > k:
+            best = np.lexsort((ids[left], -scores))[:k]
+            left, scores = left[best], scores[best]
+        yield query_id, ids[left], scores
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
