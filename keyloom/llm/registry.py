@@ -2,7 +2,7 @@
 
 from keyloom.llm.bpe import op7_bpe_codec
 from keyloom.llm.brown import op6_brown_lm
-from keyloom.llm.minhash import op10_minhash_dedup
+from keyloom.llm.minhash import OP10_SQL, op10_minhash_dedup
 from keyloom.llm.mixing import op1_mix_sources
 from keyloom.llm.quality_model import op8_quality_classifier
 from keyloom.llm.quality_rules import op5_quality_rules
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_exact_top_k": OP9_SQL}
+    return {"op9_exact_top_k": OP9_SQL, "op10_minhash_dedup": OP10_SQL}

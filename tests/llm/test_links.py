@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.llm import topk
 from keyloom.llm.components import components
 from keyloom.llm.minhash import deduplicated, near_duplicates
+from keyloom.llm.shared import meet
 from keyloom.llm.topk import top_k
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -110,3 +112,35 @@ def test_top_k_of_repeated_ids(spark):
         best = sorted((-int(x[a] @ x[c]), int(ids[c])) for a in np.flatnonzero(ids == q) for c in np.flatnonzero(ids != q))[:10]
         wanted += [(q, i, c, -s) for i, (s, c) in enumerate(best, start=1)]
     assert sorted(map(tuple, top_k(df, F.col("vec_id") % 100 == 0).collect())) == sorted(wanted)
+
+
+def test_lists_are_read_up_to_the_stop_rule():
+    """Reading stops before the lists' end, and no better vector is left out."""
+    rng = np.random.default_rng(3)
+    x = (1024 * rng.normal(size=(3000, 6))).astype(np.int64)
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)
+    depths = []
+    for i in range(0, 3000, 300):
+        left, depth = topk.read_lists(order, lists, x[i], np.arange(3000) == i, 10)
+        scores = x @ x[i]
+        scores[i] = -(2**60)
+        assert set(np.argsort(-scores)[:10]) <= set(left) and i not in left
+        depths.append(depth)
+    assert max(depths) < 3000
+
+
+def test_meet_keeps_every_row(spark):
+    """Rows of hot keys, of rare keys and without a fact."""
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(600)], "k long, x long")
+    facts = rows.groupBy("k").agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("_n")).where("k <> 3")
+    got = sorted(map(tuple, meet(rows, facts, "k", 600).collect()))
+    least = {}
+    for i in range(600):
+        least[0 if i % 3 else i] = min(least.get(0 if i % 3 else i, i), i)
+    assert got == sorted((k, i, least[k]) for i in range(600) if (k := 0 if i % 3 else i) != 3)
+
+
+def test_components_of_a_hub(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(300, 400)], "u long, v long")
+    assert {r.component for r in components(edges).collect()} == {0} and components(edges).count() == 500

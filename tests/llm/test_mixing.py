@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 
 from keyloom.llm.mixing import mix_to_targets, mixed_documents, source_targets
@@ -53,3 +54,41 @@ def test_odd_rows(odd, empty):
     mixed = mixed_documents(odd)
     assert mixed.columns == odd.columns
     assert mixed.count() == sum(r.copies for r in rows)
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    """Rows of one id, equal ones included, bring every source near its target."""
+    rows = [(1, "same words here", s) for s in ("a", "b", "c") for _ in range(100)] + [(None, f"text {i} of no id", "c") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = {}
+    for r in mix_to_targets(docs).collect():
+        took = by.setdefault(r.source, [0, r.target])
+        took[0] += r.taken
+    assert all(abs(taken - target) <= 4 for taken, target in by.values())
+    again = mix_to_targets(docs.repartition(7)).groupBy("source").sum("taken").collect()
+    assert {r[0]: r[1] for r in again} == {s: x[0] for s, x in by.items()}
+    assert mixed_documents(docs).groupBy("source").count().count() == 3
+
+
+def test_empty_texts_stay_below_the_cap(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else "a b c", "s") for i in range(400)], "doc_id long, text string, source string")
+    assert max(r.copies for r in mix_to_targets(docs, share=2.0).collect()) == 2
+
+
+def test_sizes_and_targets_by_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.execute(r"""
+      WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+      fill AS (
+        SELECT 0 AS step, source, source_size, w, false AS filled, 1.5 * sum(source_size) OVER () AS rest, sum(w) OVER () AS open FROM s
+        UNION ALL
+        SELECT step + 1, source, source_size, w, f, tot - sum(CASE WHEN f THEN 2 * source_size ELSE 0 END) OVER (), sum(CASE WHEN f THEN 0 ELSE w END) OVER ()
+        FROM (SELECT *, filled OR rest * w / open > 2 * source_size AS f, 1.5 * sum(source_size) OVER () AS tot FROM fill WHERE step < 20 AND open > 0)
+      ),
+      t AS (SELECT source, source_size, CASE WHEN filled OR open = 0 THEN 2 * source_size ELSE rest * w / open END AS target FROM fill QUALIFY step = max(step) OVER ())
+      SELECT doc_id, size, source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source ORDER BY doc_id""").fetchall()
+    got = sorted((r.doc_id, r.size, r.source_size, r.target) for r in mix_to_targets(spark.read.parquet(f"{data}/documents.parquet")).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
