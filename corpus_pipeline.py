@@ -1,6 +1,8 @@
 """From raw documents to training tokens, in five stages.
 
-Each stage works on all rows that the one before it kept.
+Each stage works on all rows that the one before it kept.  Nulls in any column, empty and very long texts, repeated rows,
+empty tables and columns with other names of the same kind are treated as the stages' operators say; none of them ends a
+stage.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from keyloom.llm.bpe import encode_documents
 from keyloom.llm.minhash import deduplicated
 from keyloom.llm.mixing import mixed_documents
 from keyloom.llm.quality_model import good_documents
-from keyloom.llm.secrets import Forest, findings_by_form, redacted
+from keyloom.llm.secrets import Forest, common_words, findings_by_form, redacted
 from keyloom.llm.shared import keep, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,7 +32,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; all documents stay."""
-    return redacted(docs, Forest(findings_by_form(docs)))
+    return redacted(docs, Forest(findings_by_form(docs), common_words(docs)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
