@@ -22,7 +22,8 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur pas au avec".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al".split(),
 }
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[!-/:-@\[-`{-~]")
+#: Unicode classes; the histogram's last bin is all else: letters without case, marks, control characters.
+CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[\p{P}\p{S}]")
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.26
 MIN_CHARS, MIN_COMMON = 300, 150  # characters, and words, below which a histogram is not judged
 

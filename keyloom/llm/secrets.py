@@ -10,6 +10,7 @@ the documents, without a join.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.shared import keep, table
+from keyloom.llm.words import words_array
 
 #: What may stand between a credential's name and its value; Java wants it bounded to look back over it.
 ASSIGNMENT = r"(?i:token(?!i[sz])|secret|passw|passphrase|pwd|api.?key|access.?key|credential|private|auth(?!ors?\b))[\w.-]{0,20}[\"'`]?\s{0,2}[:=][=>]?\s{0,2}[\"'`]?(?:(?i:bearer|basic|token)\s{1,2})?"
@@ -34,18 +36,19 @@ SHORTEST = 4  # characters of a candidate and what parts it from the next, less
 CONTEXT = 40  # characters looked at on each side
 TRAIN_FINDINGS = 20_000  # about so many labelled findings train the forest
 TREES, DEPTH = 12, 5
-#: Frequent words and syllables, three letters and more, whose letters count as covered.
-DICTIONARY = (
-    "the and ing tion that was with for are this from his her you not but have all can out one our has who more will about other which "
-    "der die und den von mit sich des auf ist ein eine les des une que est pour dans par los las del por con para ment able ness ous ent "
-    "http https www com html page index image file path home user data test example lorem ipsum"
-).split()
+DICTIONARY_WORDS = 400  # most frequent words of the corpus whose letters count as covered, besides
+#: words of addresses and placeholders, which prose does not show.
+WEB_WORDS = "http https www com html page index image file path home user data test example lorem ipsum".split()
 #: Words next to a value that name a credential.
 NAMING = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|credential|private|auth|bearer)"
 FEATURES = ("length", "transitions", "digits", "uppers", "lowers", "distinct", "coverage", "in_path", "named", "assigned", "quoted", "separators")
 
 #: Candidates that hold one of these are secret.
 KNOWN_FORMS = r"(?<![A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(live|test)_[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
+#: Candidates of these forms are not, unless a credential's name precedes them: identifiers, and what stands behind these words.
+IDENTIFIER = r"^\{?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+DIGEST_OR_DATA = r"(?i)((sha-?[0-9]{1,3}|md5|commit|revision|checksum|digest|etag|integrity|uuid|guid|build)[\"'`]?[\s:=-]{1,3}[\"'`]?|;base64,)$"
+PATH = r"(?i)(https?://|[a-z0-9_]/)\S*$"
 #: A letter beside a digit, or a capital after a small letter; words and numbers, also joined by separators, have neither.
 MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z]"
 
@@ -85,13 +88,20 @@ def _share(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.length(text)
 
 
-def features(found: Column, left: Column, right: Column) -> Column:
+def common_words(docs: DataFrame, at_most: int = DICTIONARY_WORDS) -> list[str]:
+    """The most frequent words of three letters and more of all texts; ties go to the first in order."""
+    words = docs.select(F.explode(words_array(F.lower("text"))).alias("w")).where(F.regexp_like("w", F.lit("^[a-z]{3,24}$")))
+    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(at_most)
+    return [r["w"] for r in top.collect()]
+
+
+def features(found: Column, left: Column, right: Column, dictionary: Sequence[str] = ()) -> Column:
     """The features of one candidate as an array of doubles, in the order of ``FEATURES``."""
     near_left, near_right = F.right(left, F.lit(CONTEXT)), F.left(right, F.lit(CONTEXT))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(found, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
     # a class change lies between two neighbours of different class
     runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
-    uncovered = F.length(F.regexp_replace(F.lower(found), "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", ""))
+    uncovered = F.length(F.regexp_replace(F.lower(found), "(" + "|".join(sorted({*dictionary, *WEB_WORDS}, key=lambda w: (-len(w), w))) + ")", ""))
     n = F.length(found)
     values = (
         n, runs / n, _share(found, "[0-9]"), _share(found, "[A-Z]"), _share(found, "[a-z]"), F.size(F.array_distinct(F.split(found, ""))) / n, 1 - uncovered / n,
@@ -112,11 +122,14 @@ def _candidates(parts: DataFrame) -> DataFrame:
 def findings_by_form(docs: DataFrame, at_most: int = TRAIN_FINDINGS) -> DataFrame:
     """Labelled findings ``(found, left, right, secret)`` from documents, for want of hand-made ones.
 
-    Candidates of a secret's form are secret; words and numbers that no credential's name precedes are not.  What
-    others are is not known, so nothing is learnt from them.  Of each kind about half of ``at_most`` are drawn, by a hash of the candidate."""
+    Candidates of a secret's form are secret.  Words and numbers that no credential's name precedes are not, nor are identifiers, digests,
+    inline data and parts of addresses, which look as random as secrets do.  What others are is not known, so nothing is learnt from
+    them.  Of each kind about half of ``at_most`` are drawn, by a hash of the candidate.  Null and empty texts hold no
+    candidate; equal findings count once; an empty table gives no finding."""
     rows = _candidates(split_at_candidates(docs.select("text"))).distinct()
     beside = F.col("found"), F.col("left"), F.col("right")
-    harmless = ~F.regexp_like("found", F.lit(MIXED)) & ~F.regexp_like("left", F.lit(NAMING))
+    plain = ~F.regexp_like("found", F.lit(MIXED)) | F.regexp_like("found", F.lit(IDENTIFIER)) | F.regexp_like("left", F.lit(DIGEST_OR_DATA)) | F.regexp_like("left", F.lit(PATH))
+    harmless = plain & ~F.regexp_like("left", F.lit(NAMING))
     rows = rows.withColumn("secret", F.when(has_form(*beside), 1).when(harmless, 0)).where("secret IS NOT NULL")
     rows = keep(rows, "secret-findings")
     counts = {r["secret"]: r["count"] for r in rows.groupBy("secret").count().collect()}
@@ -140,8 +153,9 @@ def _tree_sql(lines: list[str]) -> str:
 class Forest:
     """Votes of a random forest as a SQL expression over a candidate ``c`` with its features ``c.f``."""
 
-    def __init__(self, findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5):
-        rows = keep(findings.select(features(F.col("found"), F.col("left"), F.col("right")).alias("f"), F.col("secret").cast("double").alias("label")), "secret-features")
+    def __init__(self, findings: DataFrame, dictionary: Sequence[str] = (), trees: int = TREES, depth: int = DEPTH, seed: int = 5):
+        self.dictionary = tuple(dictionary)
+        rows = keep(findings.select(features(F.col("found"), F.col("left"), F.col("right"), self.dictionary).alias("f"), F.col("secret").cast("double").alias("label")), "secret-features")
         counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
         if len(counts) < 2:  # nothing to tell apart: every candidate is what all findings are, or, without any, suspect
             self.votes = f"{next(iter(counts), 1.0)}D"
@@ -153,21 +167,28 @@ class Forest:
     def mark(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         """Adds ``_found``, ``_gaps`` and ``_secret``, one flag a candidate."""
         parts = split_at_candidates(docs)
-        judge = lambda c: F.struct(has_form(c["found"], c["left"], c["right"]).alias("form"), features(c["found"], c["left"], c["right"]).alias("f"))
+        judge = lambda c: F.struct(has_form(c["found"], c["left"], c["right"]).alias("form"), features(c["found"], c["left"], c["right"], self.dictionary).alias("f"))
         secret = F.expr(f"transform(_judged, c -> c.form OR {self.votes} >= {threshold}D)")
         none = F.array().cast("array<struct<form:boolean,f:array<double>>>")
         judged = F.when(F.size("_found") > 0, F.transform(_contexts(), judge)).otherwise(none)
         return parts.withColumn("_judged", judged).withColumn("_secret", secret).drop("_judged")
 
 
+def _running(lengths: Column, first: Column) -> Column:
+    """``first`` and its sums with the lengths, one by one, but for the last."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+    empty = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    return F.aggregate(lengths, empty, step, lambda acc: acc["starts"])
+
+
 def _positions() -> Column:
-    """Start of each candidate in the text, from the lengths of gaps and candidates before it."""
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get("_gaps", i)) + F.length(F.get("_found", i))).alias("at"),
-        F.array_append(acc["starts"], acc["at"] + F.length(F.get("_gaps", i))).alias("starts"),
-    )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(F.sequence(F.lit(0), F.size("_found") - 1), empty, step, lambda acc: acc["starts"])
+    """Start of each candidate in the text, from the lengths of gaps and candidates before it; in blocks, as appending copies."""
+    block = 128
+    lengths = F.transform("_found", lambda x, i: (F.length(F.get("_gaps", i)) + F.length(x)).cast("long"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_found") - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, block))
+    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y))
+    starts = F.flatten(F.zip_with(blocks, _running(sums, F.lit(0)), _running))
+    return F.transform(starts, lambda x, i: (x + F.length(F.get("_gaps", i))).cast("int"))
 
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -190,7 +211,9 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def redacted(docs: DataFrame, forest: Forest, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mask``; all rows and columns stay."""
+    """``docs`` with every secret in ``text`` replaced by ``mask``; all rows and columns stay, whatever their names.
+
+    Null and empty texts stay as they are; equal rows get equal texts; an empty table gives an empty result."""
     own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     pieces = F.transform("_gaps", lambda gap, i: F.concat(gap, F.when(F.coalesce(F.get("_secret", i), F.lit(False)), F.lit(mask)).otherwise(F.coalesce(F.get("_found", i), F.lit("")))))
     text = F.when(F.exists("_secret", lambda s: s), F.array_join(pieces, "")).otherwise(F.col("text"))
@@ -200,4 +223,4 @@ def redacted(docs: DataFrame, forest: Forest, mask: str = "[secret]") -> DataFra
 
 def op4_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, Forest(findings_by_form(docs)))
+    return scan(docs, Forest(findings_by_form(docs), common_words(docs)))

@@ -26,10 +26,13 @@ SMOOTH = 20.0
 FOLDS = 5  # of the labelled URLs, by a hash of the URL
 FEATURES = (
     "length", "host_length", "host_labels", "depth", "path_length", "digit_ratio", "entropy", "params", "query_length",
-    "hyphens", "longest_part", "has_fragment", "suffix_rate", "domain_rate",
+    "hyphens", "longest_part", "has_fragment", "suffix_rate", "domain_rate", "section_rate",
 )
 
 
+RATED = ("suffix", "domain", "section")  # ends of the host, and the path's first part
+
+
 def host_of(url: Column) -> Column:
     """What stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
@@ -62,7 +65,7 @@ def _entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """Adds the lexical features of ``url``, and the suffixes whose statistics complete them."""
+    """Adds the lexical features of ``url``, and the parts whose statistics complete them."""
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.greatest(F.length(url), F.lit(1))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -82,7 +85,7 @@ def lexical(pages: DataFrame) -> DataFrame:
         "has_fragment": F.contains(url, F.lit("#")).cast("int"),
     }
     return pages.withColumns({k: v.cast("double") for k, v in double.items()}).withColumns(
-        {"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}
+        {"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "section": F.substring_index(F.substring("path", 2, 64), "/", 1)}
     )
 
 
@@ -100,7 +103,7 @@ class UrlModel:
         if not n or blocked in (0, n):
             return
         full = lexical(train).withColumn("_fold", _fold())
-        for key in ("suffix", "domain"):
+        for key in RATED:
             in_fold = lambda x: F.array(*[F.sum(F.when(F.col("_fold") == i, x).otherwise(0)) for i in range(FOLDS)])
             counts = full.groupBy(key).agg(
                 F.sum("blocked").alias("_hits"), F.count(F.lit(1)).alias("_seen"), in_fold(F.col("blocked")).alias("_fold_hits"), in_fold(F.lit(1)).alias("_fold_seen")

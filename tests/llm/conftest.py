@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def odd(spark):
     """Nulls in every column, empty and very long texts, repeated rows, and extra columns whose names clash."""
     rows = spark.createDataFrame(ODD_TEXTS, SCHEMA)
-    clash = ("size", "hash", "target", "copies", "key", "same", "rep", "group", "n", "row", "train", "words", "lines", "label", "features", "_row", "level", "kept")
+    clash = ("size", "hash", "target", "copies", "key", "same", "rep", "group", "n", "row", "train", "words", "lines", "label", "features", "_row", "level", "kept", "_id", "_gone", "_base", "_part", "_found", "_gaps", "_key")
     return rows.withColumns({c: F.lit("clash") for c in clash}).cache()
 
 

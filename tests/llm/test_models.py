@@ -223,9 +223,10 @@ def _forest(docs):
 
 
 def test_findings_of_unknown_label_are_left_out(spark):
-    lines = ["token = 04dbebab91ab85687d33eeaa", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it", "anthrererendanhe 9807915762804490", "MY_SECRET_NAME_OF = correcthorsebattery"]
+    lines = ["token = 04dbebab91ab85687d33eeaa", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 of it", "anthrererendanhe 9807915762804490", "MY_SECRET_NAME_OF = correcthorsebattery", "it is 7c4a8d09ca3762af61e59520943dc26494f8941b there"]
     docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
     got = {r.found: r.secret for r in secrets.findings_by_form(docs).collect()}
+    assert got.pop("04dbebab91ab85687d33eeaaf9ac699e1188f962") == 0  # a commit's digest
     assert got == {"04dbebab91ab85687d33eeaa": 1, "anthrererendanhe": 0, "9807915762804490": 0, "MY_SECRET_NAME_OF": 0}
 
 
@@ -241,3 +242,88 @@ def test_rare_toxic_words_have_evidence(spark):
 
     of = lambda w: evidence(f"plain {w}") - evidence("plain")
     assert min(of(f"slur{i}") for i in range(20)) > 0.5 > max(abs(of(f"chance{i}")) for i in range(20))
+
+
+HARMLESS = ("id 123e4567-e89b-12d3-a456-42661417%04d here", "commit 3f786850e387550fdab836ed7e6dc881de2%05d was reverted", "see https://example.com/a9Xk2LmQ4vB7nR1%04d/p for it", "sha256: 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b8%05d ok")
+
+
+def test_held_out_findings(spark, tables):
+    """A forest tells findings that it has not seen: few false alarms among hard negatives, few secrets missed."""
+    hard = spark.createDataFrame([(f % i,) for f in HARMLESS for i in range(150)], "text string")
+    findings = secrets.findings_by_form(tables["documents"].select("text").union(hard))
+    out = F.pmod(F.crc32(F.col("found").cast("binary")), F.lit(3)) == 0
+    dictionary = secrets.common_words(tables["documents"])
+    assert 300 < len(dictionary) <= secrets.DICTIONARY_WORDS and "the" in dictionary
+    forest = secrets.Forest(findings.where(~out), dictionary)
+    f = secrets.features(F.col("found"), F.col("left"), F.col("right"), dictionary)
+    rows = findings.where(out).select("secret", F.struct(f.alias("f")).alias("c")).select("secret", F.expr(f"{forest.votes} >= 0.5D").alias("flagged")).collect()
+    true, flagged = sum(r.secret for r in rows), sum(r.flagged for r in rows)
+    both = sum(r.secret and r.flagged for r in rows)
+    assert true >= 5 and both >= 0.9 * true and both >= 0.9 * flagged
+
+
+def test_spans_of_many_candidates(spark):
+    text = " ".join(f"candidate{i:08d}x" for i in range(700))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    forest = secrets.Forest(secrets.findings_by_form(docs.limit(0)))  # flags everything
+    r = secrets.scan(docs, forest).first()
+    assert [text[s.start : s.start + s.length] for s in r.spans] == text.split() and r.n_candidates == 700
+
+
+def test_brown_by_a_plain_model(spark, tables, monkeypatch):
+    """The score of each text from the same classes, word by word."""
+    docs = spark.createDataFrame(tables["documents"].where("length(text) < 1500").orderBy("doc_id").limit(80).select("doc_id", "text").collect())
+    seen = {}
+
+    def spy(name, note):
+        real = getattr(brown, name)
+        monkeypatch.setattr(brown, name, lambda *args: seen.setdefault(name, note(real(*args))))
+
+    spy("frequent_words", lambda out: out)
+    spy("cluster", lambda out: out)
+    spy("rare_classes", lambda out: spark.createDataFrame(out.collect(), out.schema))
+    got = {r.doc_id: r for r in brown.score_documents(docs, F.col("doc_id") % 5 != 1, frequent=300).collect()}
+    (keys, counts), (cls, _) = seen["frequent_words"], seen["cluster"]
+    known = {k: (int(c), int(n)) for k, c, n in zip(keys.tolist(), cls, counts, strict=True)} | {r.key: (r["class"], r.c) for r in seen["rare_classes"].collect()}
+    assert 0 < len(keys) <= 300 < len(known)
+    texts = {r.doc_id: [toxicity._key(w) for w in WORDS(r.text.translate(LOWER))] for r in docs.collect()}
+    train = [w for i, w in texts.items() if i % 5 != 1]
+    assert collections.Counter(k for w in train for k in w) == {k: n for k, (_, n) in known.items()}
+    classes, end, start, unknown = brown.CLASSES, brown.END, brown.START, brown.UNKNOWN
+    t = np.ones((classes + 2, classes + 1))
+    for w in train:
+        path = [start, *(known[k][0] for k in w), end]
+        np.add.at(t, (path[:-1], path[1:]), 1)
+    t[unknown] = t[:-1].sum(axis=0)
+    t /= t.sum(axis=1, keepdims=True)
+    size, types = np.zeros(classes), np.zeros(classes)
+    for c, n in known.values():
+        size[c] += n
+        types[c] += 1
+    fresh = t[:, :classes] @ np.where(size > 0, 0.5 * types / np.maximum(size, 1), 1.0)
+    total = int(size.sum()) + len(train)
+    spread, a = total + 0.5 * (len(known) + 2), brown.ALPHA
+    for i, w in texts.items():
+        before, score = start, 0.0
+        for k in w:
+            c, n = known.get(k, (unknown, 0))
+            p = a * (t[before, c] * (n - 0.5) / size[c] if n else fresh[before]) + (1 - a) * (n + 0.5) / spread
+            score, before = score + math.log10(p), c
+        score += math.log10(a * t[before, end] + (1 - a) * (len(train) + 0.5) / spread)
+        assert got[i].score == pytest.approx(score) and got[i].train_tokens == total
+
+
+def test_whole_vocabulary_is_exchanged(spark):
+    """Words far down the list join the class of words that stand in the same places."""
+    rng = np.random.default_rng(1)
+    names, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(str(x) for p in zip(rng.choice(names, 20, p=share / share.sum()), rng.choice(verbs, 20, p=share / share.sum()), strict=True) for x in p)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True))
+    keys, counts = brown.frequent_words(brown.count_words(docs), 100)
+    coded = brown.encode(docs, keys)
+    cls, table = brown.cluster(coded, len(keys))
+    rare = {r.key: r["class"] for r in brown.rare_classes(coded, cls, table).collect()}
+    found = dict(zip(keys.tolist(), cls.tolist(), strict=True)) | rare
+    used = [{found[k] for w in words if (k := toxicity._key(w)) in found} for words in (names, verbs)]
+    assert rare and not used[0] & used[1]

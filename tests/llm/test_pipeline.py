@@ -18,3 +18,14 @@ def test_stages(spark, data):
             assert counts[-1] == counts[-2]
             assert not any(re.search(r"AKIA[0-9A-Z]{16}", r.text) for r in docs.collect())
     assert counts[0] > counts[1] > counts[2] == counts[3] < counts[4] == counts[5]
+
+
+def test_stages_of_odd_and_empty_input(odd, empty, spark, data):
+    """Nulls, repeated rows, very long texts, clashing names and no rows at all end no stage."""
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, keep(stage(spark, docs, data), f"odd-{name}")
+            if name != "encoding":
+                assert docs.columns == before.columns
+            if name in ("secrets", "encoding"):
+                assert docs.count() == before.count()
