@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from keyloom.llm.shared import drop, keep, meet
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _least(edges: DataFrame, label: str) -> DataFrame:
+    """The smallest neighbour ``m`` of each node, and how many it has."""
+    return keep(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), f"{label}-least")
+
+
+def _large_star(edges: DataFrame, n: int, label: str) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    return meet(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = _least(both, label)
+    out = keep(meet(both, least, "u", 2 * n, counted=True).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), f"{label}-large")
+    drop(least)
+    return out
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int, label: str) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    moved = meet(down, least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    least = _least(down, label)
+    moved = meet(down, least, "u", n, counted=True).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = keep(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label)
+    drop(least)
+    return out
 
 
 def _settled(edges: DataFrame) -> tuple:
@@ -37,8 +46,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = keep(tidy.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = _settled(now)
     while state[0]:
-        after = keep(_small_star(_large_star(now, state[0]).distinct(), state[0]).where("u <> v").distinct(), label)
-        drop(now)
+        large = _large_star(now, state[0], label)
+        after = _small_star(large, state[0], label)
+        drop(now), drop(large)
         now, before, state = after, state, _settled(after)
         if state == before:
             break

@@ -70,12 +70,15 @@ def spread(rows: DataFrame, facts: DataFrame, key: str, n_keys: int, salt: Colum
     return rows.join(facts, same & (F.col("_row_salt") == F.col("_salt")), "left").drop("_key", "_salt", "_row_salt")
 
 
-def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "_n") -> DataFrame:
+def meet(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "_n", counted: bool = False) -> DataFrame:
     """Inner join of ``rows`` with one row of facts a key, whose ``count`` says how many of the ``total`` rows have the key.
 
     Keys with many rows are few: their facts are broadcast, at most ``MAX_BROADCAST_KEYS`` of them, and their rows stay
-    in place.  The others meet their facts by a shuffle."""
+    in place.  The others meet their facts by a shuffle.  If ``facts`` is ``counted`` cheaply, because it is a table, the
+    broadcast is left out where it would be empty."""
     many = F.col(count) > max(64, total // MAX_BROADCAST_KEYS)
+    if counted and facts.where(many).isEmpty():
+        return rows.join(facts, key).drop(count)
     hot = F.broadcast(facts.where(many))
     rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~many), key)
     return rows.join(hot, key).unionByName(rest).drop(count)
