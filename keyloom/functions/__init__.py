@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 class Scripts:
-    """A catalogue of scripts.  A script is a SQL expression over the columns of the rows it is run on and over the
-    arguments ``:name`` it is given, so it runs inside the query like any built-in function."""
+    """A catalogue of scripts.  A script is a SQL expression over the columns of the rows it is run on, arguments
+    among them, so it runs inside the query like any built-in function."""
 
     def __init__(self) -> None:
         self._bodies: dict[str, str] = {}

@@ -95,25 +95,54 @@ def key_slot(key: Column) -> Column:
     return crc16(F.when(tag != "", tag).otherwise(key)).bitwiseAND(F.lit(SLOTS - 1))
 
 
+def _escaped(c: str) -> str:
+    return c if c.isalnum() or c == "_" else "\\" + c
+
+
+def _glob_class(body: str) -> str:
+    """A regular expression's class for what stands between the brackets: members, ranges, ``\\`` before a literal, ``^`` first."""
+    negated = body.startswith("^")
+    chars, i = [], int(negated)
+    while i < len(body):
+        literal = body[i] == "\\" and i + 1 < len(body)
+        i += literal
+        chars.append((body[i], literal))
+        i += 1
+    out, i = [], 0
+    while i < len(chars):
+        c = chars[i][0]
+        if i + 2 < len(chars) and chars[i + 1] == ("-", False):
+            low, high = sorted((c, chars[i + 2][0]))
+            out.append(f"{_escaped(low)}-{_escaped(high)}")
+            i += 3
+        else:
+            out.append(_escaped(c))
+            i += 1
+    if not out:
+        return "." if negated else "(?!)"  # any character, or none
+    return "[" + "^" * negated + "".join(out) + "]"
+
+
 def glob_to_regex(pattern: str) -> str:
     """An anchored regular expression for a glob with ``*``, ``?``, ``[...]`` and backslash."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
+        end = i + 1
+        while end < len(pattern) and pattern[end] != "]":
+            end += 2 if pattern[end] == "\\" else 1
         if c == "*":
             out.append(".*")
         elif c == "?":
             out.append(".")
-        elif c == "[" and "]" in pattern[i + 1 :]:
-            end = pattern.index("]", i + 1)
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
-            out.append("[" + body + "]")
+        elif c == "[" and end < len(pattern):
+            out.append(_glob_class(pattern[i + 1 : end]))
             i = end
         else:
             if c == "\\" and i + 1 < len(pattern):
                 i += 1
                 c = pattern[i]
-            out.append("\\" + c if not c.isalnum() and c != "_" else c)
+            out.append(_escaped(c))
         i += 1
     return "(?s)^" + "".join(out) + "$"
 

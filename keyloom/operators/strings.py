@@ -12,24 +12,22 @@ def strlen(value: Column) -> Column:
 
 
 def byte_range(value: Column, start: int, stop: int) -> Column:
-    """Bytes from ``start`` to ``stop``, both included; negative positions count from the end."""
-    raw = F.encode(value, "utf-8")
-    n = F.octet_length(value)
+    """Bytes from ``start`` to ``stop``, both included, as a byte string; negative positions count from the end."""
+    raw = value.cast("binary")
+    n = F.octet_length(raw)
     low = F.lit(start) if start >= 0 else F.greatest(n + start, F.lit(0))
     high = F.least(F.lit(stop) if stop >= 0 else n + stop, n - 1)
-    return F.when(high >= low, F.decode(F.substring(raw, low + 1, high - low + 1), "utf-8")).otherwise("")
+    return F.when(high >= low, F.substring(raw, low + 1, high - low + 1)).otherwise(F.lit(bytearray()))
 
 
-def set_range(value: Column, offset: int, patch: str) -> Column:
-    """Overwrites bytes from an offset, padding with zero bytes.  An empty patch changes nothing."""
-    value = F.coalesce(value, F.lit(""))
+def set_range(value: Column, offset: int, patch: str | bytes) -> Column:
+    """The byte string with bytes overwritten from an offset, padded with zero bytes.  An empty patch changes nothing."""
+    raw = F.coalesce(value.cast("binary"), F.lit(bytearray()))
+    patch = bytearray(patch.encode() if isinstance(patch, str) else patch)
     if not patch:
-        return value
-    raw, width = F.encode(value, "utf-8"), len(patch.encode())
-    pad = F.repeat(F.lit("\0"), F.greatest(F.lit(offset) - F.octet_length(value), F.lit(0)))
-    head = F.concat(F.decode(F.substring(raw, 1, offset), "utf-8"), pad)
-    tail = F.decode(F.substring(raw, offset + width + 1, 1 << 30), "utf-8")
-    return F.concat(head, F.lit(patch), tail)
+        return raw
+    pad = F.repeat(F.lit("\0"), F.greatest(F.lit(offset) - F.octet_length(raw), F.lit(0))).cast("binary")
+    return F.concat(F.substring(raw, 1, offset), pad, F.lit(patch), F.substring(raw, offset + len(patch) + 1, 1 << 30))
 
 
 def last_write(log: DataFrame, *columns: str) -> DataFrame:

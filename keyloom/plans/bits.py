@@ -1,4 +1,4 @@
-"""Bitmap queries: users active by event type; and bit fields of part numbers."""
+"""Bitmap queries: minutes with events by event type; and bit fields of part numbers."""
 
 from __future__ import annotations
 
@@ -12,6 +12,14 @@ THREE = ["act:view", "act:click", "act:error"]
 IN_THREE = "key IN ('act:view', 'act:click', 'act:error')"
 
 
+def asked(t):
+    """The minute after each event, in the bitmap of its type: some bits are set, others not."""
+    return event_bits(t).select("key", (F.col("pos") + 1).alias("pos"))
+
+
+ASKED = f"(SELECT key, pos + 1 AS pos FROM {EVENT_BITS})"
+
+
 def flips(t):
     """A command log that sets and clears the bits of users."""
     return writes(t).select(F.concat(F.lit("f:"), F.col("seq") % 3).alias("key"), F.col("user_id").alias("pos"), "seq", (F.col("cents") % 2).cast("int").alias("bit"))
@@ -39,10 +47,10 @@ def grown(overflow):
 QUERIES = [
     query("setbit", lambda t: b.set_bits(flips(t))[0], f"SELECT key, pos FROM {FLIPS} GROUP BY key, pos HAVING arg_max(bit, seq) = 1"),
     query("setbit_old", lambda t: b.set_bits(flips(t))[1].select("seq", "old"), f"SELECT seq, coalesce(lag(bit) OVER (PARTITION BY key, pos ORDER BY seq), 0) AS old FROM {FLIPS}"),
-    query("getbit", lambda t: b.get_bits(event_bits(t), t.events.where("user_id < 10").select(F.concat(F.lit("act:"), "event_type").alias("key"), F.col("user_id").alias("pos")).distinct()),
-          f"SELECT a.key, a.pos, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS bit FROM (SELECT DISTINCT 'act:' || event_type AS key, user_id AS pos FROM events WHERE user_id < 10) a LEFT JOIN {EVENT_BITS} e ON a.key = e.key AND a.pos = e.pos"),
+    query("getbit", lambda t: b.get_bits(event_bits(t), asked(t)),
+          f"SELECT a.key, a.pos, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS bit FROM {ASKED} a LEFT JOIN {EVENT_BITS} e ON a.key = e.key AND a.pos = e.pos"),
     query("bitcount", lambda t: b.count_bits(event_bits(t)), f"SELECT key, count(*) AS n FROM {EVENT_BITS} GROUP BY key"),
-    query("bitcount_range", lambda t: b.count_bits(event_bits(t), 0, 0), f"SELECT key, count(*) AS n FROM {EVENT_BITS} WHERE pos BETWEEN 0 AND 7 GROUP BY key"),
+    query("bitcount_range", lambda t: b.count_bits(event_bits(t), 0, 179), f"SELECT key, count(*) AS n FROM {EVENT_BITS} WHERE pos BETWEEN 0 AND 1439 GROUP BY key"),
     query("bitpos_set", lambda t: b.first_set(event_bits(t)), f"SELECT key, min(pos) AS pos FROM {EVENT_BITS} GROUP BY key"),
     query("bitpos_clear", lambda t: b.first_clear(event_bits(t)), f"SELECT k.key, (SELECT min(p) FROM range(0, 100000) r(p) WHERE NOT EXISTS (SELECT 1 FROM {EVENT_BITS} e WHERE e.key = k.key AND e.pos = r.p)) AS pos FROM (SELECT DISTINCT key FROM {EVENT_BITS}) k"),
     query("bitpos_clear_range", lambda t: b.first_clear(event_bits(t), 0, 1),
@@ -59,9 +67,9 @@ QUERIES = [
     query("tsetbit", lambda t: b.fragments(b.set_bits(flips(t))[0]).select("key", "frag_id", F.bitmap_count("bits").alias("n")), f"SELECT key, pos // 8192 AS frag_id, count(*) AS n FROM (SELECT key, pos FROM {FLIPS} GROUP BY key, pos HAVING arg_max(bit, seq) = 1) GROUP BY 1, 2"),
     query("tbitcount", lambda t: b.fragment_counts(b.fragments(event_bits(t))), f"SELECT key, count(*) AS n FROM {EVENT_BITS} GROUP BY key"),
     query("tbitop_or", lambda t: b.fragment_union(b.fragments(event_bits(t)), THREE).select("frag_id", F.bitmap_count("bits").alias("n")), f"SELECT pos // 8192 AS frag_id, count(DISTINCT pos) AS n FROM {EVENT_BITS} WHERE {IN_THREE} GROUP BY 1"),
-    query("tgetbit", lambda t: b.fragment_get(b.fragments(event_bits(t)), t.events.where("user_id < 10").select(F.concat(F.lit("act:"), "event_type").alias("key"), F.col("user_id").alias("pos")).distinct()),
-          f"SELECT a.key, a.pos, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS bit FROM (SELECT DISTINCT 'act:' || event_type AS key, user_id AS pos FROM events WHERE user_id < 10) a LEFT JOIN {EVENT_BITS} e ON a.key = e.key AND a.pos = e.pos"),
+    query("tgetbit", lambda t: b.fragment_get(b.fragments(event_bits(t)), asked(t)),
+          f"SELECT a.key, a.pos, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS bit FROM {ASKED} a LEFT JOIN {EVENT_BITS} e ON a.key = e.key AND a.pos = e.pos"),
     query("tbitpos", lambda t: b.fragment_first_set(b.fragments(event_bits(t))), f"SELECT key, min(pos) AS pos FROM {EVENT_BITS} GROUP BY key"),
-    query("tbitop_and", lambda t: b.fragment_intersection(b.fragments(event_bits(t)), THREE).select("frag_id", F.bitmap_count("bits").alias("n")),
+    query("tbitop_and", lambda t: b.fragment_intersection(b.fragments(event_bits(t)), THREE).select("frag_id", F.bitmap_count("bits").alias("n")).where("n > 0"),
           f"SELECT pos // 8192 AS frag_id, count(*) AS n FROM (SELECT pos FROM {EVENT_BITS} WHERE {IN_THREE} GROUP BY pos HAVING count(*) = 3) GROUP BY 1"),
 ]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from keyloom.functions import Scripts
@@ -13,6 +10,7 @@ from keyloom.plans.base import query
 from keyloom.plans.fixtures import CUSTOMER_HASH, NATION_ZSET, PART_NAMES, SUPPLIER_SETS, WRITES, customer_hash, nation_zset, part_names, supplier_sets, writes
 from keyloom.sources import changelog, dumps, snapshots
 from keyloom.streaming import counters, folds
+from keyloom.streaming.base import scratch
 
 
 def flag_orders(t):
@@ -60,8 +58,7 @@ LAST = "SELECT key, arg_max(value, seq) AS value, arg_max(op, seq) AS op FROM {l
 
 
 def snapshot(t):
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyloom-")
-    path = f"{base.rstrip('/')}/keyloom/backup-{uuid.uuid4().hex}"
+    path = scratch(t.spark, "backup")
     snapshots.backup(nation_zset(t), path)
     return snapshots.restore_backup(t.spark, path).select("key", "member", "score")
 

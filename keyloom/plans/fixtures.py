@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.plans.base import Tables
@@ -91,10 +91,15 @@ def size_zset(t: Tables) -> DataFrame:
 SIZE_ZSET = "(SELECT 'size' AS key, CAST(p_partkey AS VARCHAR) AS member, CAST(p_size AS DOUBLE) AS score FROM part)"
 
 
+def minute(ts) -> Column:
+    """Minute of the year, a position that stays sparse over all events."""
+    return ((F.dayofyear(ts) - 1) * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("long")
+
+
 def event_bits(t: Tables) -> DataFrame:
-    """A bitmap per event type: ``(key, pos)`` of the bits that are set."""
-    early = F.col("ts") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
-    return t.events.where(early).select(F.concat(F.lit("act:"), "event_type").alias("key"), F.col("user_id").alias("pos")).distinct()
+    """A bitmap per event type: ``(key, pos)`` of the bits that are set, the minutes with such an event."""
+    return t.events.select(F.concat(F.lit("act:"), "event_type").alias("key"), minute("ts").alias("pos")).distinct()
 
 
-EVENT_BITS = "(SELECT DISTINCT 'act:' || event_type AS key, user_id AS pos FROM events WHERE ts < TIMESTAMP '2024-01-03 00:00:00')"
+MINUTE = "CAST((dayofyear(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) AS BIGINT)"
+EVENT_BITS = f"(SELECT DISTINCT 'act:' || event_type AS key, {MINUTE} AS pos FROM events)"

@@ -97,6 +97,14 @@ w AS (
 SELECT w.key, w.value FROM w JOIN l ON w.key = l.key AND w.i = l.i WHERE w.value IS NOT NULL
 """
 
+def byte_names(t):
+    """Names between characters of two and three bytes, so that byte positions fall inside characters."""
+    return part_names(t).select("key", F.concat(F.lit("é"), "value", F.lit("日é")).alias("value"))
+
+
+BYTE_NAMES = f"(SELECT key, hex(encode('é' || value || '日é')) AS h, octet_length(encode('é' || value || '日é')) AS n FROM {PART_NAMES})"
+
+
 QUERIES = [
     query("get", lambda t: part_names(t).where(F.col("key") == "part:7").select("key", "value"), f"SELECT key, value FROM {PART_NAMES} WHERE key = 'part:7'"),
     query("set", lambda t: s.set_if_present(kinds(writes(t))), SET_SQL),
@@ -110,9 +118,9 @@ QUERIES = [
     query("msetnx", msetnx, "SELECT stmt, key FROM (SELECT p_partkey AS stmt, unnest(['part:' || (p_partkey * 2), 'new:' || p_partkey]) AS key FROM part) WHERE stmt NOT IN (SELECT p_partkey // 2 FROM part WHERE p_partkey % 2 = 0)"),
     query("strlen", lambda t: part_names(t).select("key", s.strlen(F.col("value")).alias("n")), f"SELECT key, octet_length(encode(value)) AS n FROM {PART_NAMES}"),
     query("append", lambda t: s.append(writes(t)), f"SELECT key, string_agg(value, '' ORDER BY seq) AS value, octet_length(encode(string_agg(value, '' ORDER BY seq))) AS n_bytes FROM {WRITES} GROUP BY key"),
-    query("getrange", lambda t: part_names(t).select("key", s.byte_range(F.col("value"), -6, -2).alias("part")), f"SELECT key, substr(value, greatest(length(value) - 5, 1), length(value) - 1 - greatest(length(value) - 6, 0)) AS part FROM {PART_NAMES}"),
-    query("substr", lambda t: part_names(t).select("key", s.byte_range(F.col("value"), 1, 4).alias("part")), f"SELECT key, substr(value, 2, 4) AS part FROM {PART_NAMES}"),
-    query("setrange", lambda t: part_names(t).select("key", s.set_range(F.col("value"), 2, "##").alias("value")), f"SELECT key, substr(value, 1, 2) || '##' || substr(value, 5) AS value FROM {PART_NAMES}"),
+    query("getrange", lambda t: byte_names(t).select("key", F.hex(s.byte_range(F.col("value"), -6, -2)).alias("part")), f"SELECT key, substr(h, 2 * greatest(n - 6, 0) + 1, 2 * (n - 1 - greatest(n - 6, 0))) AS part FROM {BYTE_NAMES}"),
+    query("substr", lambda t: byte_names(t).select("key", F.hex(s.byte_range(F.col("value"), 1, 4)).alias("part")), f"SELECT key, substr(h, 3, 8) AS part FROM {BYTE_NAMES}"),
+    query("setrange", lambda t: byte_names(t).select("key", F.hex(s.set_range(F.col("value"), 2, "#é")).alias("value")), f"SELECT key, substr(h, 1, 4) || '23C3A9' || substr(h, 11) AS value FROM {BYTE_NAMES}"),
     query("incr", counted(1), counted_sql("1")),
     query("decr", counted(-1), counted_sql("-1")),
     query("incrby", lambda t: s.totals(writes(t), F.col("cents")), f"SELECT key, CAST(sum(cents) AS BIGINT) AS counter FROM {WRITES} GROUP BY key"),

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder, in the cluster's shared one if it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyloom-")
+    """A new folder in the cluster's shared one.  Only a local session may go without that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
     return f"{base.rstrip('/')}/keyloom/{label}-{uuid.uuid4().hex}"
 
 

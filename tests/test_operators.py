@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from keyloom.operators import bits, hashes, keyspace, lists, sketches, strings, zsets
@@ -20,7 +21,7 @@ def test_bytes_not_characters(spark):
 
 def test_get_range(spark):
     df = one(spark, "This is a string")
-    get = lambda s, e: df.select(strings.byte_range(F.col("value"), s, e)).first()[0]
+    get = lambda s, e: bytes(df.select(strings.byte_range(F.col("value"), s, e)).first()[0]).decode()
     assert get(-3, -1) == "ing"
     assert get(0, 3) == "This"
     assert get(0, -1) == "This is a string"
@@ -30,8 +31,8 @@ def test_get_range(spark):
 
 def test_set_range_pads(spark):
     df = one(spark, "ab")
-    assert df.select(strings.set_range(F.col("value"), 4, "xy")).first()[0] == "ab\0\0xy"
-    assert one(spark, None).select(strings.set_range(F.col("value"), 0, "")).first()[0] == ""
+    assert df.select(strings.set_range(F.col("value"), 4, "xy")).first()[0] == b"ab\0\0xy"
+    assert one(spark, None).select(strings.set_range(F.col("value"), 0, "")).first()[0] == b""
 
 
 def test_slot(spark):
@@ -170,3 +171,20 @@ def test_scripts(spark):
     digest = scripts.load("upper(value)")
     assert scripts.exists(digest, "no") == [True, False]
     assert one(spark, "a").select(scripts.call(digest)).first()[0] == "A"
+
+
+def test_bytes_inside_characters(spark):
+    df = spark.createDataFrame([("é日",)], "value string")
+    raw = "é日".encode()
+    for start, stop in ((0, 0), (1, 3), (-2, -1), (4, 9), (9, 12)):
+        assert df.select(strings.byte_range(F.col("value"), start, stop)).first()[0] == raw[start : stop + 1 if stop != -1 else None]
+    assert df.select(strings.set_range(F.col("value"), 1, b"\xff")).first()[0] == raw[:1] + b"\xff" + raw[2:]
+
+
+@pytest.mark.parametrize(
+    "pattern, yes, no",
+    [("a[[]b", ["a[b"], ["ab", "a]b"]), ("a[&&]b", ["a&b"], ["ab", "a&&b"]), ("[^a]x", ["bx"], ["ax"]), ("[z-a]", ["m"], ["M"]), ("[a-]", ["a", "-"], ["b"]), ("\\\\*", ["\\\\x"], ["x"]), ("[\\]]", ["]"], ["\\"]), ("a[", ["a["], ["a"]), ("[a^]", ["^"], ["b"])],
+)
+def test_globs(spark, pattern, yes, no):
+    df = spark.createDataFrame([(x,) for x in yes + no], "key string")
+    assert {r.key for r in df.where(F.regexp_like("key", F.lit(keyspace.glob_to_regex(pattern)))).collect()} == set(yes)
