@@ -44,7 +44,7 @@ def read_lists(order: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndar
     up = w > 0
     far = np.where(up, lists[0, used], lists[-1, used]) * w  # what the far ends contribute
     known, seen = np.zeros(n), np.zeros((n, len(used)), dtype=bool)
-    columns, depth, step = np.arange(len(used)), 0, max(2 * k, 16)
+    columns, depth, step = np.arange(len(used)), 0, max(2 * k, n // 16)
     while True:
         stop = min(n, depth + step)
         places = np.where(up, n - 1 - np.arange(depth, stop)[:, None], np.arange(depth, stop)[:, None])
