@@ -188,3 +188,64 @@ def test_bytes_inside_characters(spark):
 def test_globs(spark, pattern, yes, no):
     df = spark.createDataFrame([(x,) for x in yes + no], "key string")
     assert {r.key for r in df.where(F.regexp_like("key", F.lit(keyspace.glob_to_regex(pattern)))).collect()} == set(yes)
+
+
+def python_field(raw, signed, width, offset):
+    whole = int.from_bytes(raw.ljust((offset + width + 7) // 8, b"\0"), "big")
+    n = max(len(raw), (offset + width + 7) // 8) * 8
+    value = whole >> (n - offset - width) & (1 << width) - 1
+    return value - (1 << width) if signed and value >> width - 1 else value
+
+
+def python_set(raw, width, offset, value):
+    n = max(len(raw), (offset + width + 7) // 8)
+    whole, shift = int.from_bytes(raw.ljust(n, b"\0"), "big"), n * 8 - offset - width
+    mask = ((1 << width) - 1) << shift
+    return (whole & ~mask | (value << shift) & mask).to_bytes(n, "big")
+
+
+def test_fields_of_byte_strings(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(bytearray(rng.randbytes(n)),) for n in (0, 1, 2, 8, 9, 17)] + [(None,)], "value binary").cache()
+    for kind, offset in (("i64", 0), ("i64", 3), ("u63", 1), ("u63", 70), ("i1", 7), ("u1", 8), ("u8", "#2"), ("i13", 29), ("u12", 100)):
+        signed, width = kind[0] == "i", int(kind[1:])
+        at = int(offset[1:]) * width if isinstance(offset, str) else offset
+        low, high = (-(1 << width - 1), (1 << width - 1) - 1) if signed else (0, (1 << width) - 1)
+        new, delta = rng.randint(low, high), rng.choice([1, -1]) * rng.randint(0, (1 << 63) - 1)
+        ops = [("get", kind, offset), ("set", kind, offset, new), ("incrby", kind, offset, delta), ("overflow", "fail"), ("incrby", kind, offset, delta), ("overflow", "sat"), ("incrby", kind, offset, delta)]
+        for r in rows.select("value", bits.bitfield(F.col("value"), ops).alias("f")).collect():
+            raw = bytes(r.value or b"")
+            old = python_field(raw, signed, width, at)
+            first = (new + delta - low) % (1 << width) + low
+            second = first + delta if low <= first + delta <= high else None
+            third = min(max((first if second is None else second) + delta, low), high)
+            assert r.f.results == [old, old, first, second, third], (kind, offset)
+            assert bytes(r.f.value) == python_set(raw, width, at, third), (kind, offset)
+    with pytest.raises(ValueError):
+        bits.bitfield(F.col("value"), [("get", "u64", 0)])
+
+
+def test_words(spark):
+    rng = random.Random(4)
+    model = {"full": set(range(200)), "mixed": {rng.randrange(400) for _ in range(250)} | {399}, "late": {130}, "ends": {0, 63, 64, 127}}
+    ws = bits.words(spark.createDataFrame([(k, p) for k, ps in model.items() for p in ps], "key string, pos long")).cache()
+    assert {k: {r.pos for r in bits.positions(ws).where(F.col("key") == k).collect()} for k in model} == model
+    for first, last in ((0, None), (0, 0), (1, 3), (7, 8), (8, 24), (24, 30), (16, None), (60, 70)):
+        inside = range(8 * first, 1000 if last is None else 8 * last + 8)
+        wanted = lambda test: {k: next((p for p in inside if test(p in ps)), -1) for k, ps in model.items()}  # noqa: B023, E731
+        assert {r.key: r.n for r in bits.word_counts(ws, first, last).collect()} == {k: sum(p in ps for p in inside) for k, ps in model.items()}
+        assert {r.key: r.pos for r in bits.word_first(ws, 1, first, last).collect()} == wanted(lambda x: x)
+        assert {r.key: r.pos for r in bits.word_first(ws, 0, first, last).collect()} == wanted(lambda x: not x)
+    got = lambda df: {r.pos for r in bits.positions(df).collect()}
+    assert got(bits.word_combine(ws, ["full", "mixed"], "xor")) == model["full"] ^ model["mixed"]
+    assert got(bits.word_combine(ws, ["full", "late"], "and")) == {130}
+    assert got(bits.word_combine(ws, ["full", "none"], "and")) == set()
+    for k, ps in model.items():
+        assert got(bits.word_not(ws, k)) == set(range(max(ps) // 8 * 8 + 8)) - ps
+    assert got(bits.word_not(ws, "none")) == set()
+    new = spark.createDataFrame([("late", 60, -3, 1), ("late", 62, 5, 2), ("fresh", 5, 1, 1)], "key string, offset long, value long, seq int")
+    after = bits.set_word_fields(ws, new, "i7").cache()
+    assert {(r.key, r.offset): r.value for r in bits.word_fields(after, new.select("key", "offset"), "i7").collect()} == {("late", 60): -31, ("late", 62): 5, ("fresh", 5): 1}
+    assert bits.word_counts(after).where("key = 'full'").first().n == 200
+    grown, found = bits.increment_word_fields(after, spark.createDataFrame([("late", 62, 60)], "key string, offset long, delta long"), "i7", "sat")
+    assert found.first().value == 63 and bits.word_fields(grown, new.select("key", "offset"), "i7").where("offset = 62").first().value == 63
