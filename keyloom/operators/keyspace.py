@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 16384
@@ -171,3 +171,13 @@ def page(rows: DataFrame, order: list[str], after: tuple | None, n: int) -> Data
             conditions.append(reduce(lambda x, y: x & y, [*same, F.col(name) > F.lit(after[i])]))
         rows = rows.where(reduce(lambda x, y: x | y, conditions))
     return rows.orderBy(*order).limit(n)
+
+
+def scan(rows: DataFrame, by: str, after: str | None, count: int, test: Column | None = None) -> DataFrame:
+    """The next ``count`` rows after ``after`` that pass a test, and ``cursor``: where the next page goes on, null once nothing is
+    left.  Patterns, types and slots go into the test, so a page is full as long as there are rows for it."""
+    found = page(rows if test is None else rows.where(test), [by], None if after is None else (after,), count + 1)
+    # one window over a page and a row
+    numbered = found.withColumns({"_i": F.row_number().over(Window.orderBy(by)), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    last = F.max(F.when(F.col("_i") <= count, F.col(by))).over(Window.partitionBy())
+    return numbered.withColumn("cursor", F.when(F.col("_n") > count, last)).where(F.col("_i") <= count).drop("_i", "_n")

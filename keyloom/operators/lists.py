@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.ranking import in_pieces
 from keyloom.operators.zsets import within
 
 
@@ -12,8 +13,10 @@ def _order(reverse: bool = False) -> Window:
     return Window.partitionBy("key").orderBy(F.col("idx").desc() if reverse else F.col("idx"))
 
 
-def positioned(rows: DataFrame) -> DataFrame:
-    """Adds ``pos`` from 0."""
+def positioned(rows: DataFrame, large: bool = False) -> DataFrame:
+    """Adds ``pos`` from 0.  Each list is sorted in one task, or for ``large`` lists, whose ``idx`` must differ, in many."""
+    if large:
+        return in_pieces(rows, [F.col("idx")], "pos")
     return rows.withColumn("pos", F.row_number().over(_order()) - 1)
 
 

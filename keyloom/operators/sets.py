@@ -48,8 +48,13 @@ def smallest(rows: DataFrame, n: int) -> DataFrame:
 
 
 def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` members of each set, chosen by a seeded hash: reruns agree."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "member", F.lit(seed)), "member")
+    """``n`` members of each set, chosen by a seeded hash: reruns agree.  A negative ``n`` draws as many members one by one, so that
+    one may be drawn again: ``(key, draw, member)``."""
+    if n < 0:
+        draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(-n))))
+        drawn = F.min_by("member", F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "key", "member")), "member"))
+        return draws.groupBy("key", "draw").agg(drawn.alias("member"))
+    order = Window.partitionBy("key").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "key", "member")), "member")
     return rows.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= n).drop("_i")
 
 

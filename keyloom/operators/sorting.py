@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,8 @@ def sort_by(rows: DataFrame, weights: DataFrame | None = None, fetch: DataFrame
         ranked = ranked.where(F.col("rank") < offset + limit)
     ranked = ranked.select("key", "element", F.col("rank").cast("long").alias("rank"))
     return ranked if fetch is None else ranked.join(fetch, "element", "left")
+
+
+def store(ranked: DataFrame, target: Column) -> DataFrame:
+    """Sorted elements as lists ``(key, idx, value)`` under ``target``, which replace what the keys held."""
+    return ranked.select(target.alias("key"), F.col("rank").cast("double").alias("idx"), F.col("element").alias("value"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,20 +75,26 @@ def totals(log: DataFrame, delta: Column) -> DataFrame:
 def fixed_window_counter(log: DataFrame, window_ms: int) -> DataFrame:
     """Counters whose window starts with the first command after the last window's end: ``(key, opened_ms, counter)``.
 
-    Order decides, so the commands of one key are folded in one row."""
-    times = F.array_sort(F.collect_list("ts_ms"))
-    empty = F.array().cast("array<struct<opened_ms:bigint,counter:bigint>>")
-
-    def step(windows: Column, ts: Column) -> Column:
-        last = F.element_at(windows, -1)
-        inside = (F.size(windows) > 0) & (ts < F.try_element_at(windows, F.lit(-1))["opened_ms"] + window_ms)
-        last = F.try_element_at(windows, F.lit(-1))
-        grown = F.struct(last["opened_ms"].alias("opened_ms"), (last["counter"] + 1).alias("counter"))
-        new = F.struct(ts.alias("opened_ms"), F.lit(1).cast("bigint").alias("counter"))
-        return F.when(inside, F.concat(F.slice(windows, 1, F.greatest(F.size(windows) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(windows, F.array(new)))
-
-    folded = log.groupBy("key").agg(F.aggregate(times, empty, step).alias("windows"))
-    return folded.select("key", F.inline("windows"))
+    Order decides, so a key's commands are read one after the other in order of time; only the open window is held, however
+    many commands the key has."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, opened, counter = None, None, 0
+        for batch in batches:
+            closed = []
+            for key, ts in zip(batch["key"].tolist(), batch["ts_ms"].tolist(), strict=True):
+                if opened is not None and key == now and ts < opened + window_ms:
+                    counter += 1
+                    continue
+                if opened is not None:
+                    closed.append((now, opened, counter))
+                now, opened, counter = key, ts, 1
+            yield pd.DataFrame(closed, columns=["key", "opened_ms", "counter"])
+        if opened is not None:
+            yield pd.DataFrame([(now, opened, counter)], columns=["key", "opened_ms", "counter"])
+
+    timed = log.select("key", F.col("ts_ms").cast("long").alias("ts_ms")).where("ts_ms IS NOT NULL")
+    return timed.repartition("key").sortWithinPartitions("key", "ts_ms").mapInPandas(fold, "key string, opened_ms long, counter long")
 
 
 def compare_and_set(log: DataFrame) -> DataFrame:

@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.ranking import in_pieces
+
 
 def _order(reverse: bool) -> list[Column]:
     return [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
 
 
-def ranked(zset: DataFrame, reverse: bool = False) -> DataFrame:
-    """Adds ``rank`` from 0."""
+def ranked(zset: DataFrame, reverse: bool = False, large: bool = False) -> DataFrame:
+    """Adds ``rank`` from 0.  Each key is sorted in one task, or for ``large`` keys in many."""
+    if large:
+        return in_pieces(zset, _order(reverse))
     return zset.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*_order(reverse))) - 1)
 
 

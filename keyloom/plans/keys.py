@@ -93,7 +93,8 @@ QUERIES = [
     query("object", lambda t: everything(t).select("key", F.element_at(F.create_map(*[F.lit(x) for kv in ENCODINGS.items() for x in kv]), F.col("type")).alias("encoding")),
           f"SELECT key, CASE type WHEN 'string' THEN 'raw' WHEN 'list' THEN 'linkedlist' WHEN 'zset' THEN 'skiplist' ELSE 'ht' END AS encoding FROM {EVERYTHING}"),
     query("keys", lambda t: everything(t).where(k.matches(F.col("key"), "part:[12]?*")).select("key"), f"SELECT key FROM {EVERYTHING} WHERE regexp_matches(key, '^part:[12]..*$')"),
-    query("scan", lambda t: k.page(everything(t).where(F.col("type") == "hash"), ["key"], ("cust:1",), 50).select("key"), f"SELECT key FROM {EVERYTHING} WHERE type = 'hash' AND key > 'cust:1' ORDER BY key LIMIT 50"),
+    query("scan", lambda t: k.scan(everything(t), "key", "cust:1", 20, (F.col("type") == "hash") & k.matches(F.col("key"), "cust:*5*") & k.key_slot(F.col("key")).between(0, 8191)).select("key", "cursor"),
+          f"WITH q AS (SELECT key, row_number() OVER (ORDER BY key) AS i, count(*) OVER () AS n FROM {EVERYTHING} WHERE type = 'hash' AND key > 'cust:1' AND key LIKE 'cust:%5%' AND {SLOT_SQL} <= 8191) SELECT key, CASE WHEN n > 20 THEN (SELECT max(key) FROM q WHERE i <= 20) END AS cursor FROM q WHERE i <= 20"),
     query("sscan", lambda t: k.page(supplier_sets(t).where("key = 'sup:1'"), ["member"], ("2",), 20), f"SELECT key, member FROM {SUPPLIER_SETS} WHERE key = 'sup:1' AND member > '2' ORDER BY member LIMIT 20"),
     query("dbsize", lambda t: deadlines(t).where(k.live(NOW_MS)).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM {DEADLINES} WHERE {LIVE}"),
     query("dbempty", lambda t: everything(t).limit(1).agg((F.count(F.lit(1)) == 0).cast("int").alias("is_empty")), f"SELECT CAST(count(*) = 0 AS INTEGER) AS is_empty FROM {EVERYTHING}"),

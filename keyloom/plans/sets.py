@@ -41,7 +41,8 @@ QUERIES = [
     query("smembers", lambda t: supplier_sets(t).where("key = 'sup:2'").select("member"), of(2)),
     query("smove", lambda t: st.move(supplier_sets(t), moves(t)), f"SELECT * FROM {SUPPLIER_SETS} EXCEPT SELECT * FROM {NEW} UNION SELECT 'sup:new' AS key, s.member FROM {SUPPLIER_SETS} s JOIN {NEW} n ON s.key = n.key AND s.member = n.member"),
     query("spop", lambda t: st.smallest(supplier_sets(t), 3), f"SELECT key, member FROM {NUMBERED} WHERE i <= 3"),
-    query("srandmember", lambda t: st.sample(supplier_sets(t), 5, seed=42)),
+    query("srandmember", lambda t: st.sample(supplier_sets(t), 5, seed=42), f"SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('42:' || key || ':' || member), member) AS i FROM {SUPPLIER_SETS}) WHERE i <= 5"),
+    query("srandmember_repeats", lambda t: st.sample(supplier_sets(t), -4, seed=42), f"SELECT key, CAST(d AS INTEGER) AS draw, arg_min(member, md5('42:' || d || ':' || key || ':' || member)) AS member FROM {SUPPLIER_SETS}, range(1, 5) r(d) GROUP BY key, d"),
     query("sdiff", lambda t: st.difference(supplier_sets(t), "sup:1", THREE[1:]), DIFF),
     query("sdiffstore", lambda t: st.store(st.difference(supplier_sets(t), "sup:1", THREE[1:]), "d"), stored("d", DIFF)),
     query("sinter", lambda t: st.intersect(supplier_sets(t), THREE), INTER),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import hashes, zsets as z
+from keyloom.operators import hashes, keyspace as k, zsets as z
 from keyloom.plans.base import query
 from keyloom.plans.fixtures import NATION_ZSET, SIZE_ZSET, WRITES, nation_zset, size_zset, writes
 
@@ -74,7 +74,7 @@ QUERIES = [
     query("zcard", lambda t: nation_zset(t).groupBy("key").agg(F.count(F.lit(1)).alias("n")), f"SELECT key, count(*) AS n FROM {NATION_ZSET} GROUP BY key"),
     query("zscore", lambda t: plain(nation_zset(t)).where("member = '17'"), f"SELECT * FROM {NATION_ZSET} WHERE member = '17'"),
     query("zrank", lambda t: rank(z.ranked(nation_zset(t))), f"SELECT key, member, score, rank FROM {RANKED}"),
-    query("zrevrank", lambda t: rank(z.ranked(size_zset(t), reverse=True)), f"SELECT key, member, score, back AS rank FROM {SIZES}"),
+    query("zrevrank", lambda t: rank(z.ranked(size_zset(t), reverse=True, large=True)), f"SELECT key, member, score, back AS rank FROM {SIZES}"),
     query("zcount", lambda t: nation_zset(t).groupBy("key").agg(F.count_if(scores()).alias("n")), f"SELECT key, count(*) FILTER ({SCORES}) AS n FROM {NATION_ZSET} GROUP BY key"),
     query("zlexcount", lambda t: nation_zset(t).groupBy("key").agg(F.count_if(lex()).alias("n")), f"SELECT key, count(*) FILTER ({LEX}) AS n FROM {NATION_ZSET} GROUP BY key"),
     query("zrange", lambda t: rank(z.zrange(nation_zset(t), 1, 4)), f"SELECT key, member, score, rank FROM {RANKED} WHERE rank BETWEEN 1 AND 4"),
@@ -92,7 +92,8 @@ QUERIES = [
     query("zunionstore_max", combined("max"), combined_sql("max")),
     query("zinterstore", combined("sum", True), combined_sql("sum", True)),
     query("zinterstore_min", combined("min", True), combined_sql("min", True)),
-    query("zscan", lambda t: plain(z.range_by(nation_zset(t), z.in_members("1", low_open=True), limit=-1)).where("key = 'nation:3'"), f"SELECT * FROM {NATION_ZSET} WHERE key = 'nation:3' AND member > '1'"),
+    query("zscan", lambda t: k.scan(plain(nation_zset(t)).where("key = 'nation:3'"), "member", "1", 10, k.matches(F.col("member"), "*1*")).select("key", "member", "score", "cursor"),
+          f"WITH q AS (SELECT *, row_number() OVER (ORDER BY member) AS i, count(*) OVER () AS n FROM {NATION_ZSET} WHERE key = 'nation:3' AND member > '1' AND member LIKE '%1%') SELECT key, member, score, CASE WHEN n > 10 THEN (SELECT max(member) FROM q WHERE i <= 10) END AS cursor FROM q WHERE i <= 10"),
     query("zscanbyscore", lambda t: plain(z.range_by(nation_zset(t), z.in_scores(1000.0), limit=5)), f"SELECT key, member, score FROM (SELECT *, row_number() OVER ({UP}) AS i FROM {NATION_ZSET} WHERE score >= 1000) WHERE i <= 5"),
     query("zsize", lambda t: hashes.byte_size(nation_zset(t), "member"), f"SELECT key, count(*) AS n, CAST(sum(octet_length(encode(member))) AS BIGINT) AS n_bytes FROM {NATION_ZSET} GROUP BY key"),
 ]

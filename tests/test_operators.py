@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import bits, hashes, keyspace, lists, sketches, strings, zsets
+from keyloom.operators import bits, hashes, keyspace, lists, sets, sketches, strings, zsets
 from keyloom.sources import changelog, dumps
 
 
@@ -249,3 +249,71 @@ def test_words(spark):
     assert bits.word_counts(after).where("key = 'full'").first().n == 200
     grown, found = bits.increment_word_fields(after, spark.createDataFrame([("late", 62, 60)], "key string, offset long, delta long"), "i7", "sat")
     assert found.first().value == 63 and bits.word_fields(grown, new.select("key", "offset"), "i7").where("offset = 62").first().value == 63
+
+
+def test_scan_to_the_end(spark):
+    keys = spark.createDataFrame([(f"k{i:02}", i % 2) for i in range(23)], "key string, odd int").cache()
+    seen, cursor = [], None
+    while True:
+        rows = keyspace.scan(keys, "key", cursor, 4, F.col("odd") == 1).collect()
+        seen += [r.key for r in rows]
+        cursor = rows[0].cursor if rows else None
+        if cursor is None:
+            break
+        assert cursor == rows[-1].key or cursor == max(r.key for r in rows)
+    assert sorted(seen) == [f"k{i:02}" for i in range(23) if i % 2]
+
+
+def test_large_keys_are_ranked_in_pieces(spark):
+    rng = random.Random(5)
+    rows = [("hot", f"m{i}", float(rng.randrange(9))) for i in range(500)] + [("small", "a", 1.0), ("small", "b", 0.5)]
+    z = spark.createDataFrame(rows, "key string, member string, score double").repartition(6).cache()
+    for reverse in (False, True):
+        wanted = {(r.key, r.member): r.rank for r in zsets.ranked(z, reverse).collect()}
+        assert {(r.key, r.member): r.rank for r in zsets.ranked(z, reverse, large=True).collect()} == wanted
+    line = spark.createDataFrame([("k", float(i * 3 % 50), str(i)) for i in range(50)], "key string, idx double, value string")
+    assert {r.idx: r.pos for r in lists.positioned(line, large=True).collect()} == {float(i): i for i in range(50)}
+    assert zsets.ranked(z.limit(0), large=True).count() == 0
+
+
+def test_draws_may_repeat(spark):
+    one_member = spark.createDataFrame([("k", "a")], "key string, member string")
+    assert sorted((r.draw, r.member) for r in sets.sample(one_member, -3, 1).collect()) == [(1, "a"), (2, "a"), (3, "a")]
+    many = spark.createDataFrame([("k", str(i)) for i in range(30)], "key string, member string")
+    drawn = [r.member for r in sets.sample(many, -300, 1).collect()]
+    assert len(drawn) == 300 and len(set(drawn)) > 25
+
+
+def test_dumps_of_all_types(spark):
+    cases = {
+        "string": [("k", 'a"é')], "list": [("k", 1.5, "x"), ("k", 2.0, "x")], "set": [("k", "m"), ("l", "")], "zset": [("k", "m", float("-inf")), ("k", "n", 0.1)],
+        "bitmap": [("k", 5), ("k", 1 << 40)], "hash": [("k", "f", "v")],
+    }
+    for kind, rows in cases.items():
+        df = spark.createDataFrame(rows, "key string, " + dumps.SCHEMAS[kind])
+        made = dumps.dump(df, kind)
+        assert sorted(map(tuple, dumps.restore(made, kind).collect())) == sorted(rows)
+        assert dumps.restore(made.withColumn("crc", F.col("crc") + 1), kind).count() == 0
+    made = dumps.dump(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "key string, value string"), "string")
+    ends = spark.createDataFrame([("a", 50), ("b", 150)], "key string, expire_at_ms long")
+    live = dumps.dump_live(made, ends, 100).cache()
+    assert sorted((r.key, r.ttl_ms) for r in live.collect()) == [("b", 50), ("c", 0)]
+    present = spark.createDataFrame([("c",)], "key string")
+    assert [(r.key, r.expire_at_ms) for r in dumps.restorable(live, present, 1000).collect()] == [("b", 1050)]
+    assert dumps.restorable(live, present, 1000, replace=True).count() == 2
+
+
+def test_script_arguments(spark):
+    from keyloom.functions import Scripts
+
+    scripts = Scripts()
+    digest = scripts.load("concat(value, :tail, '{x}')")
+    assert scripts.run(one(spark, "a"), digest, args={"tail": "'; --"}).first().result == "a'; --{x}"
+    with pytest.raises(KeyError):
+        scripts.run(one(spark, "a"), "none", args={"tail": "b"})
+
+
+def test_many_windows_of_one_key(spark):
+    log = spark.createDataFrame([("k", 10 * t) for t in range(2000)] + [("l", 3)], "key string, ts_ms long").repartition(3)
+    found = sorted(tuple(r) for r in strings.fixed_window_counter(log, 15).collect())
+    assert found == sorted([("k", 20 * t, 2) for t in range(1000)] + [("l", 3, 1)])
