@@ -92,6 +92,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty and fails the base rules for want of words.  A null language is a language
     of its own.  Languages without a list of common words are judged by character classes alone.
+    A distance is 0 where there is nothing to compare with, so such a document is judged by the base rules.
     Repeated rows count as often as they occur; an empty table gives an empty result.
     """
     rows = keep(measure(docs), "quality-measures")
@@ -123,4 +124,66 @@ def judge_quality(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir):
-    return judge_quality(table(spark, sf_dir, "documents"))
+    """The verdicts, with distances to six digits, in which sums of doubles agree whatever their order."""
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _listed(names: list[str]) -> str:
+    return "[" + ", ".join(names) + "]"
+
+
+def _sql() -> str:
+    """The same rows in DuckDB's SQL."""
+    classes = _listed([f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in CLASSES])
+    marks = " ".join(f"WHEN '{lang}' THEN {_listed([repr(w) for w in words])}" for lang, words in COMMON.items())
+    n_classes, n_common = len(CLASSES), len(next(iter(COMMON.values())))
+    sums = lambda column, n: _listed([f"CAST(sum({column}[{i + 1}]) AS BIGINT)" for i in range(n)])
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    CASE lang {marks} END AS marks
+  FROM documents
+), windows AS (
+  SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM d)
+), repeats AS (
+  SELECT r, count(DISTINCT place) AS n FROM (
+    SELECT r, unnest([i, i + 1, i + 2]) AS place FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times FROM windows) WHERE times > 1
+  ) GROUP BY r
+), m AS (
+  SELECT r, doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(text) AS n_chars, {classes} AS classes,
+    list_transform(marks, lambda m: len(list_filter(words, lambda x: lower(x) = m))) AS common
+  FROM d
+), base AS (
+  SELECT m.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed
+  FROM m LEFT JOIN repeats USING (r)
+), total AS (
+  SELECT lang, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(n_words) AS BIGINT) AS words, {sums("classes", n_classes)} AS classes,
+    CASE WHEN sum(common[1]) IS NOT NULL THEN {sums("common", n_common)} END AS common
+  FROM base WHERE NOT base_failed GROUP BY lang
+), shares AS (
+  SELECT b.*,
+    list_transform(list_append(b.classes, b.n_chars - list_sum(b.classes)), lambda x: CASE WHEN b.n_chars > 0 THEN CAST(x AS DOUBLE) / b.n_chars ELSE 0 END) AS p,
+    CASE WHEN t.classes IS NOT NULL THEN list_transform(list_append(t.classes, t.chars - list_sum(t.classes)), lambda x: CASE WHEN t.chars > 0 THEN CAST(x AS DOUBLE) / t.chars ELSE 0 END) END AS q,
+    CASE WHEN b.common IS NOT NULL THEN list_transform(list_append(b.common, b.n_words - list_sum(b.common)), lambda x: CASE WHEN b.n_words > 0 THEN CAST(x AS DOUBLE) / b.n_words ELSE 0 END) END AS v,
+    CASE WHEN t.common IS NOT NULL THEN list_transform(list_append(t.common, t.words - list_sum(t.common)), lambda x: CASE WHEN t.words > 0 THEN CAST(x AS DOUBLE) / t.words ELSE 0 END) END AS w
+  FROM base b LEFT JOIN total t ON b.lang IS NOT DISTINCT FROM t.lang
+), far AS (
+  SELECT *, {_js_sql("p", "q")} AS char_distance, {_js_sql("v", "w")} AS word_distance FROM shares
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_chars >= {MIN_CHARS} AND char_distance > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(n_words >= {MIN_COMMON} AND word_distance > {MAX_WORD_DISTANCE}, false) AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM far
+"""
+
+
+def _js_sql(p: str, q: str) -> str:
+    part = lambda x: f"CASE WHEN {x}[i] > 0 THEN 0.5 * {x}[i] * log2({x}[i] / (({p}[i] + {q}[i]) / 2)) ELSE 0 END"
+    return f"CASE WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(p)} + {part(q)})), 0)) ELSE 0 END"
+
+
+OP5_SQL = _sql()

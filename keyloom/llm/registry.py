@@ -5,7 +5,7 @@ from keyloom.llm.brown import op6_brown_lm
 from keyloom.llm.minhash import OP10_SQL, op10_minhash_dedup
 from keyloom.llm.mixing import op1_mix_sources
 from keyloom.llm.quality_model import op8_quality_classifier
-from keyloom.llm.quality_rules import op5_quality_rules
+from keyloom.llm.quality_rules import OP5_SQL, op5_quality_rules
 from keyloom.llm.secrets import op4_secret_scan
 from keyloom.llm.topk import OP9_SQL, op9_exact_top_k
 from keyloom.llm.toxicity import op3_toxicity
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_exact_top_k": OP9_SQL, "op10_minhash_dedup": OP10_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op9_exact_top_k": OP9_SQL, "op10_minhash_dedup": OP10_SQL}

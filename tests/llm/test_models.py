@@ -327,3 +327,27 @@ def test_whole_vocabulary_is_exchanged(spark):
     found = dict(zip(keys.tolist(), cls.tolist(), strict=True)) | rare
     used = [{found[k] for w in words if (k := toxicity._key(w)) in found} for words in (names, verbs)]
     assert rare and not used[0] & used[1]
+
+
+def test_quality_rules_by_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.execute(quality_rules.OP5_SQL)
+    columns = [d[0] for d in want.description]
+    got = quality_rules.op5_quality_rules(spark, data)
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == sorted(map(repr, want.fetchall()))
+
+
+def test_quality_rules_by_sql_on_odd_texts(spark):
+    long = " ".join(f"wort{i}" for i in range(60))
+    rows = [(1, None, "en"), (2, "", "en"), (3, long, None), (3, long, None), (4, long + "\n" + long, "xx"), (5, "É 数 \U0001f600 " * 200, "de"), (6, "the of and " * 100, "en"), (7, long.upper() + "\x0b\x1c#|<", "fr"), (None, long, "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    for table in (docs, docs.limit(0)):
+        con.register("documents", table.toArrow())
+        want = con.execute(quality_rules.OP5_SQL)
+        columns = [d[0] for d in want.description]
+        got = quality_rules.judge_quality(table).withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+        assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == sorted(map(repr, want.fetchall()))
