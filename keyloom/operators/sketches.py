@@ -1,39 +1,37 @@
-"""Distinct counts by HyperLogLog registers in long form: ``(key, reg, rho)``.
-
-Registers are maxima, so adding and merging are one ``max``, combined before the shuffle."""
+"""Distinct counts by HyperLogLog sketches, one binary value a key: ``(key, sketch)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 14
 REGISTERS = 1 << BITS
-#: The published LogLog-Beta coefficients for 2^14 registers.
-BETA = (-0.370393911, 0.070471823, 0.17393686, 0.16339839, -0.09237745, 0.03738027, -0.005384159, 0.00042419)
 
 
-def registers(rows: DataFrame, element: str) -> DataFrame:
-    h = F.xxhash64(element)
-    # the hash's other bits, with a stop bit; rho is the position of the lowest one
-    rest = F.shiftrightunsigned(h, BITS).bitwiseOR(F.lit(1 << (64 - BITS)))
-    rho = F.round(F.log2(rest.bitwiseAND(-rest).cast("double"))).cast("int") + 1
-    return rows.select("key", h.bitwiseAND(F.lit(REGISTERS - 1)).cast("int").alias("reg"), rho.alias("rho")).groupBy("key", "reg").agg(F.max("rho").alias("rho"))
+def sketched(rows: DataFrame, element: str) -> DataFrame:
+    """A sketch of the elements of each key; partial sketches are merged, so a key may have any number of rows."""
+    return rows.groupBy("key").agg(F.hll_sketch_agg(element, BITS).alias("sketch"))
+
+
+def add(sketches: DataFrame, rows: DataFrame, element: str) -> DataFrame:
+    """The sketches after adding rows ``(key, element)``."""
+    return sketches.unionByName(sketched(rows, element)).groupBy("key").agg(F.hll_union_agg("sketch").alias("sketch"))
 
 
 def merge(sketches: DataFrame, key: str) -> DataFrame:
     """The sketch of the union of all keys."""
-    return sketches.groupBy("reg").agg(F.max("rho").alias("rho")).select(F.lit(key).alias("key"), "reg", "rho")
+    return sketches.agg(F.hll_union_agg("sketch").alias("sketch")).select(F.lit(key).alias("key"), "sketch")
 
 
 def estimate(sketches: DataFrame) -> DataFrame:
-    """``(key, n)`` by LogLog-Beta."""
-    sums = sketches.groupBy("key").agg(F.count(F.lit(1)).alias("_set"), F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_sum"))
-    empty = (F.lit(REGISTERS) - F.col("_set")).cast("double")
-    z = F.ln(empty + 1)
-    beta: Column = F.lit(BETA[0]) * empty
-    for power, c in enumerate(BETA[1:], start=1):
-        beta = beta + F.lit(c) * F.pow(z, F.lit(float(power)))
-    alpha = 0.7213 / (1 + 1.079 / REGISTERS)
-    n = alpha * REGISTERS * (REGISTERS - empty) / (beta + F.col("_sum") + empty)
-    return sums.select("key", F.round(n).cast("long").alias("n"))
+    return sketches.select("key", F.hll_sketch_estimate("sketch").alias("n"))
+
+
+def registers(rows: DataFrame, element: str) -> DataFrame:
+    """What registers of such a sketch look like, ``(key, reg, rho)``, to see how even the hashes are."""
+    h = F.xxhash64(element)
+    # the hash's other bits, with a stop bit; rho is the position of the lowest one
+    rest = F.shiftrightunsigned(h, BITS).bitwiseOR(F.lit(1 << (64 - BITS)))
+    rho = F.round(F.log2(rest.bitwiseAND(-rest).cast("double"))).cast("int") + 1
+    return rows.select("key", h.bitwiseAND(F.lit(REGISTERS - 1)).cast("int").alias("reg"), rho.alias("rho")).groupBy("key", "reg").agg(F.max("rho").alias("rho"))

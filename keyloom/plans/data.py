@@ -25,12 +25,19 @@ def checked(counted, exact, name="n"):
 
 def pfcount(t):
     exact = flag_orders(t).groupBy("key").agg(F.count_distinct("l_orderkey").alias("exact"))
-    return checked(sk.estimate(sk.registers(flag_orders(t), "l_orderkey")), exact)
+    return checked(sk.estimate(sk.sketched(flag_orders(t), "l_orderkey")), exact)
+
+
+def pfadd(t):
+    """Sketches of the even orders, to which the odd ones are added."""
+    exact = flag_orders(t).groupBy("key").agg(F.count_distinct("l_orderkey").alias("exact"))
+    even = sk.sketched(flag_orders(t).where("l_orderkey % 2 = 0"), "l_orderkey")
+    return checked(sk.estimate(sk.add(even, flag_orders(t).where("l_orderkey % 2 = 1"), "l_orderkey")), exact)
 
 
 def pfmerge(t):
     exact = flag_orders(t).agg(F.lit("all").alias("key"), F.count_distinct("l_orderkey").alias("exact"))
-    return checked(sk.estimate(sk.merge(sk.registers(flag_orders(t), "l_orderkey"), "all")), exact)
+    return checked(sk.estimate(sk.merge(sk.sketched(flag_orders(t), "l_orderkey"), "all")), exact)
 
 
 def order_lists(t):
@@ -168,7 +175,7 @@ QUERIES = [
     query("binlogmeta", lambda t: log(t).orderBy("seq").limit(1).select("seq", "ts_ms", "key", "op"), f"SELECT seq, ts_ms, key, op FROM {LOG} ORDER BY seq LIMIT 1"),
     query("pfcount", pfcount, "SELECT 'uniq:' || l_returnflag AS key, count(DISTINCT l_orderkey) AS exact, 1 AS close FROM lineitem GROUP BY 1"),
     query("pfmerge", pfmerge, "SELECT 'all' AS key, count(DISTINCT l_orderkey) AS exact, 1 AS close FROM lineitem"),
-    query("pfadd", lambda t: sk.registers(flag_orders(t), "l_orderkey")),
+    query("pfadd", pfadd, "SELECT 'uniq:' || l_returnflag AS key, count(DISTINCT l_orderkey) AS exact, 1 AS close FROM lineitem GROUP BY 1"),
     query("pfdebug_getreg", lambda t: sk.registers(flag_orders(t), "l_orderkey").groupBy("key", "rho").agg(F.count(F.lit(1)).alias("n"))),
     query("sort", lambda t: sorting.sort_by(order_lists(t), limit=3), f"SELECT key, element, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o_orderkey, element) - 1 AS rank FROM {ORDER_LISTS}) WHERE rank < 3"),
     query("sort_by_get", lambda t: sorting.sort_by(order_lists(t), weights(t), fetched(t), descending=True, offset=1, limit=3),

@@ -140,7 +140,7 @@ def test_bit_positions(spark):
 def test_sketch_error(spark):
     for n in (1, 100, 30_000):
         rows = spark.range(n).selectExpr("'k' as key", "id")
-        assert abs(sketches.estimate(sketches.registers(rows, "id")).first().n - n) <= max(0.03 * n, 1)
+        assert abs(sketches.estimate(sketches.sketched(rows, "id")).first().n - n) <= max(0.03 * n, 1)
 
 
 def test_dump_round_trip(spark):
