@@ -10,6 +10,9 @@ Every later token starts within the last ``lookahead`` positions, where ``lookah
 token of the merge list in symbols.  Once the encodings of all prefixes that end in this window share a
 token, no continuation can change it, and it is emitted.  Only the window and the tokens that are not
 yet stable stay in memory.
+
+Decoding is an incremental state machine from token bytes to text: characters leave it as soon as their bytes are
+complete, and it holds no more than the bytes of one that is not.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -34,6 +38,19 @@ MEMO = 120_000  # words whose ids are remembered by a task
 _NO_SPACES = "\x1c\x1d\x1e\x1f"
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+# The library composes by Unicode 9.0, so marks that later versions added neither move nor compose there,
+# and it lower-cases by Unicode 17.0, so letters newer than Python's tables change too.
+_LATER_MARKS = regex.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b"
+    "\U0001145e\U00011839-\U0001183a\U00011930\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42"
+    "\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae"
+    "\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
+_LATER_LETTERS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+_LATER_LETTERS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER = regex.compile("[" + "".join(map(chr, _LATER_LETTERS)) + "]")
+
 
 def byte_letters() -> dict[int, str]:
     """By byte: its printable letter in byte-level vocabularies."""
@@ -165,9 +182,41 @@ class Transducer:
 
 def _lower(text: str) -> str:
     """Lower case character by character, without the rule for a final sigma."""
+    if not text.isascii() and _LATER.search(text):
+        text = text.translate(_LATER_LETTERS)
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+def _compose(text: str) -> str:
+    """Canonical composition, in which marks of later versions stay where they are."""
+    if not _LATER_MARKS.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _LATER_MARKS.split(text))
+
+
+class Decoder:
+    """Token ids to text, in as many steps as one likes: an incremental byte-to-text state machine.
+
+    Its state is whether a token came before, and the bytes of a character that is not complete."""
+
+    def __init__(self, table: dict[int, bytes], gap: bytes = b""):
+        self.table, self.gap, self.before = table, gap, b""
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        """The characters that these ids complete."""
+        if not ids:
+            return ""
+        raw = self.before + self.gap.join([self.table[i] for i in ids])
+        self.before = self.gap
+        return self.machine.decode(raw)
+
+    def finish(self) -> str:
+        """What is left at the end; bytes that make no character become U+FFFD."""
+        self.before = b""
+        return self.machine.decode(b"", True)
+
+
 class Tokenizer:
     """A ``tokenizers`` JSON file of the kind BPE with word ends: normalise, split, byte letters, merges."""
 
@@ -190,7 +239,7 @@ class Tokenizer:
     def normalise(text: str) -> list[str]:
         """The words of the normalised text: canonical composition, lower case, split at white space."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = _compose(text)
         if any(c in text for c in _NO_SPACES):  # white space for Python, not for the vocabulary's pattern
             words = _SPACES.split(text)
             return [w for w in (_lower(w) for w in words) if w]
@@ -231,29 +280,34 @@ class Tokenizer:
                 ids += found
         return ids
 
+    @cached_property
+    def _name_bytes(self) -> dict[int, bytes]:
+        return {i: name.encode() for i, name in self.names.items()}
+
+    @cached_property
+    def _text_bytes(self) -> dict[int, bytes]:
+        back, end = {c: b for b, c in self.letters.items()}, self.transducer.end
+
+        def raw(name: str) -> bytes:
+            word_end = bool(end) and name.endswith(end)
+            return bytes(back[c] for c in (name[: -len(end)] if word_end else name)) + (b" " if word_end else b"")
+
+        return {i: raw(name) for i, name in self.names.items() if name not in self.special} | {i: name.encode() for name, i in self.special.items()}
+
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """The library's form of ids without a decoder, in pieces: token strings with single spaces."""
-        names, feed, gap = self.names, iter(ids), ""
-        while part := list(islice(feed, 4096)):
-            yield gap + " ".join([names[i] for i in part])
-            gap = " "
+        return self._run(Decoder(self._name_bytes, b" "), ids)
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text: byte letters back to bytes, bytes to characters as soon as they are complete."""
-        back = {c: b for b, c in self.letters.items()}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        end = self.transducer.end
-        special = set(self.special.values())
-        for i in ids:
-            name = self.names[i]
-            if i in special:
-                yield machine.decode(b"", True) + name
-                machine.reset()
-                continue
-            word_end = bool(end) and name.endswith(end)
-            raw = bytes(back[c] for c in (name[: -len(end)] if word_end else name))
-            yield machine.decode(raw) + (" " if word_end else "")
-        yield machine.decode(b"", True)
+        """Readable text, in pieces: byte letters back to bytes, word ends to spaces."""
+        return self._run(Decoder(self._text_bytes), ids)
+
+    @staticmethod
+    def _run(decoder: Decoder, ids: Iterable[int]) -> Iterator[str]:
+        feed = iter(ids)
+        while part := list(islice(feed, 4096)):
+            yield decoder.feed(part)
+        yield decoder.finish()
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -273,16 +327,18 @@ SCHEMA = T.StructType(
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
+        T.StructField("decoded", T.StringType()),
     ]
 )
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True, with_text: bool = False) -> DataFrame:
     """Encode whole texts and decode them again.
 
     Input: ``doc_id``, ``text``; other columns are ignored.  ``vocabulary`` is the path of the JSON file, read on the
     driver; its size bounds the broadcast.  Output: ``doc_id``, ``n_tokens``, ``ids`` (unless ``with_ids`` is false),
-    ``ids_sha256`` (of little-endian unsigned 32-bit ids), ``decoded_sha256``.  Ids are equal to those of the tokenizers
+    ``ids_sha256`` (of little-endian unsigned 32-bit ids), ``decoded_sha256`` (of the text that the library decodes to), and with
+    ``with_text`` ``decoded``, the readable text of the ids.  Ids are equal to those of the tokenizers
     library without special tokens added; strings of special tokens inside a text become their ids, as there.
 
     Null text counts as empty: no ids, and the hash of nothing.  Rows are independent, so repeated rows,
@@ -293,14 +349,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
         raw = f.read()
     name = hashlib.sha256(raw).hexdigest()
     spec = docs.sparkSession.sparkContext.broadcast(raw)
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[f for f in SCHEMA if with_ids or f.name != "ids"]]
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[f for f in SCHEMA if {"ids": with_ids, "decoded": with_text}.get(f.name, True)]]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(name, spec)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                n, all_ids, hashes, decoded = [], [], [], []
+                n, all_ids, hashes, decoded, texts = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     ids = np.asarray(tokenizer.encode(text or ""), dtype="<u4")
                     n.append(len(ids))
@@ -311,10 +367,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
                     for piece in tokenizer.decode(ids.tolist()):
                         out.update(piece.encode())
                     decoded.append(out.hexdigest())
+                    if with_text:
+                        texts.append("".join(tokenizer.decode_text(ids.tolist())))
                 columns = [part.column("doc_id"), pa.array(n, pa.int64())]
                 if with_ids:
                     columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 columns += [pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                if with_text:
+                    columns.append(pa.array(texts, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select("doc_id", "text").mapInArrow(encode, T.StructType(fields))
