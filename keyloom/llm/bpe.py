@@ -20,6 +20,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -49,7 +50,8 @@ _LATER_MARKS = regex.compile(
 )
 _LATER_LETTERS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 _LATER_LETTERS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_LATER = regex.compile("[" + "".join(map(chr, _LATER_LETTERS)) + "]")
+_LATER = regex.compile(_LATER_MARKS.pattern + "|[" + "".join(map(chr, _LATER_LETTERS)) + "]")
+_HIGH = re.compile("[\u07fd-\U0010ffff]")  # where the first of both stands; most texts end before it
 
 
 def byte_letters() -> dict[int, str]:
@@ -182,16 +184,14 @@ class Transducer:
 
 def _lower(text: str) -> str:
     """Lower case character by character, without the rule for a final sigma."""
-    if not text.isascii() and _LATER.search(text):
-        text = text.translate(_LATER_LETTERS)
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
 def _compose(text: str) -> str:
-    """Canonical composition, in which marks of later versions stay where they are."""
-    if not _LATER_MARKS.search(text):
+    """Canonical composition, in which marks of later versions stay where they are; letters of later versions in lower case."""
+    if not (_HIGH.search(text) and _LATER.search(text)):
         return unicodedata.normalize("NFC", text)
-    return "".join(unicodedata.normalize("NFC", part) for part in _LATER_MARKS.split(text))
+    return "".join(unicodedata.normalize("NFC", part) for part in _LATER_MARKS.split(text)).translate(_LATER_LETTERS)
 
 
 class Decoder:
